@@ -47,12 +47,21 @@ def late_readings(readings: DataFrame, config: RuleConfig, chunk_rows: int = CHU
     return clocked.filter(_first_open(first, config) > last)
 
 
-def flag_late(readings: DataFrame, previous_max_ms: Column, config: RuleConfig) -> Column:
+def flag_late(previous_max_ms: Column, config: RuleConfig) -> Column:
     """Batch-granular late flag for a micro-batch: every window closed by earlier batches."""
     end = floor_to(epoch_ms("observed_at"), config.rising_slide_ms) + config.rising_window_ms
     return F.coalesce(end <= previous_max_ms - config.watermark_ms, F.lit(False))
 
 
+def boundary_readings(ms: Column) -> list[Column]:
+    """Aggregates for the earliest and the latest reading; the first arrival wins a tie."""
+    seq, level = F.col("seq"), F.col("water_level_m").alias("level")
+    return [
+        F.min(F.struct(ms.alias("ms"), seq.alias("seq"), level)).alias("earliest"),
+        F.max(F.struct(ms.alias("ms"), (-seq).alias("seq"), level)).alias("latest"),
+    ]
+
+
 def rising_windows(
     readings: DataFrame,
     config: RuleConfig,
@@ -78,27 +87,28 @@ def rising_windows(
         )
     pane = floor_to(F.col("ms"), pane_ms)
     first, last = _window_starts(F.col("pane"), config)
-    level, ms, seq = F.col("water_level_m"), F.col("ms"), F.col("seq")
     panes = (
-        clocked.filter(level.isNotNull())
+        clocked.filter(F.col("water_level_m").isNotNull())
         .withColumn("pane", pane)
         .withColumn("open_from", _first_open(first, config))
         .filter(F.col("open_from") <= last)
         .groupBy("station_id", "pane", "open_from")
-        .agg(
-            F.min(F.struct(ms.alias("ms"), seq.alias("seq"), level.alias("level"))).alias("earliest"),
-            F.max(F.struct(ms.alias("ms"), (-seq).alias("seq"), level.alias("level"))).alias("latest"),
-        )
+        .agg(*boundary_readings(F.col("ms")))
     )
     windows = (
         panes.withColumn("start", F.explode(F.sequence("open_from", last, F.lit(slide).cast("long"))))
         .groupBy("station_id", "start")
         .agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
     )
+    return two_point_windows(windows, F.col("start"), F.col("start") + size)
+
+
+def two_point_windows(windows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Windows with readings at two different times, flattened, with the rise between them."""
     return windows.filter(F.col("earliest.ms") < F.col("latest.ms")).select(
         "station_id",
-        F.col("start").alias("window_start_ms"),
-        (F.col("start") + size).alias("window_end_ms"),
+        start.alias("window_start_ms"),
+        end.alias("window_end_ms"),
         F.col("earliest.ms").alias("earliest_ms"),
         F.col("earliest.level").alias("earliest_level_m"),
         F.col("latest.ms").alias("latest_ms"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import RuleConfig
@@ -82,9 +82,8 @@ def spikes(baseline: DataFrame, config: RuleConfig) -> DataFrame:
     ).filter(F.abs("delta_m") >= F.lit(config.spike_m))
 
 
-def spike_candidates(fired: DataFrame, config: RuleConfig) -> DataFrame:
-    """Candidates of the spike rule; event time = the reading's."""
-    event_time = F.timestamp_millis("event_ms")
+def spike_texts(config: RuleConfig) -> tuple[Column, Column]:
+    """Reason and evidence of a fired spike row."""
     level, median, delta = F.col("level_m"), F.col("baseline_median_m"), F.col("delta_m")
     threshold = F.lit(config.spike_m)
     reason = F.format_string(
@@ -93,11 +92,16 @@ def spike_candidates(fired: DataFrame, config: RuleConfig) -> DataFrame:
     )
     evidence = json_object(
         stationId=F.col("station_id"),
-        eventTimestamp=iso_instant(event_time),
+        eventTimestamp=iso_instant(F.timestamp_millis("event_ms")),
         waterLevelM=level,
         baselineMedianM=median,
         deltaM=delta,
         thresholdM=threshold,
         baselineSampleCount=F.col("baseline_count"),
     )
-    return as_candidates(fired, SENSOR_SPIKE, reason, evidence, event_time)
+    return reason, evidence
+
+
+def spike_candidates(fired: DataFrame, config: RuleConfig) -> DataFrame:
+    """Candidates of the spike rule; event time = the reading's."""
+    return as_candidates(fired, SENSOR_SPIKE, *spike_texts(config), F.timestamp_millis("event_ms"))

@@ -45,8 +45,8 @@ def stale_gaps(readings: DataFrame, config: RuleConfig, as_of: Column | None = N
     )
 
 
-def stale_candidates(gaps: DataFrame, config: RuleConfig) -> DataFrame:
-    """Candidates of the stale rule; event time and order = timer instant."""
+def stale_texts(config: RuleConfig) -> tuple[Column, Column]:
+    """Reason and evidence of a silence."""
     observed = iso_instant(F.timestamp_millis("last_observed_ms"))
     minutes = F.lit(config.stale_min)
     reason = F.format_string(
@@ -55,7 +55,12 @@ def stale_candidates(gaps: DataFrame, config: RuleConfig) -> DataFrame:
     evidence = json_object(
         stationId=F.col("station_id"), lastObservedAt=observed, staleTimeoutMinutes=minutes
     )
+    return reason, evidence
+
+
+def stale_candidates(gaps: DataFrame, config: RuleConfig) -> DataFrame:
+    """Candidates of the stale rule; event time and order = timer instant."""
     return as_candidates(
-        gaps.withColumn("seq", F.col("fire_ms")), STATION_STALE, reason, evidence,
+        gaps.withColumn("seq", F.col("fire_ms")), STATION_STALE, *stale_texts(config),
         F.timestamp_millis("fire_ms"),
     )

@@ -18,6 +18,25 @@ def alert_id(station: Column, rule: Column, first_seq: Column) -> Column:
     return stable_uuid(station, rule, first_seq.cast("string"))
 
 
+def as_alert_events(
+    candidates: DataFrame, first_seq: Column, triggered_ms: Column, last_ms: Column, repeat: Column
+) -> DataFrame:
+    """Candidates with their run attached, as alert events."""
+    return candidates.select(
+        alert_id(F.col("station_id"), F.col("rule_code"), first_seq).alias("id"),
+        "station_id", "rule_code", "severity",
+        F.lit(ACTIVE).alias("status"),
+        "title", "reason",
+        with_json_entry(F.col("evidence"), "repeatCount", repeat).alias("evidence"),
+        F.timestamp_millis(triggered_ms).alias("triggered_at"),
+        F.lit(None).cast("timestamp").alias("acknowledged_at"),
+        F.lit(None).cast("timestamp").alias("resolved_at"),
+        F.timestamp_millis(last_ms).alias("last_occurred_at"),
+        repeat.alias("repeat_count"),
+        "seq",
+    ).select(*ALERT_FIELDS, "seq")
+
+
 def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every candidate as an alert event carrying its run's id, start and repeat count.
 
@@ -43,7 +62,9 @@ def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = CHUNK_
 
     local = Window.partitionBy(*KEY, "_chunk").orderBy("seq")
     rows = (
-        candidates.withColumns({"_chunk": chunk, "_ms": epoch_ms("event_time")})
+        candidates.withColumns({
+            "_chunk": chunk, "_ms": epoch_ms(F.coalesce("event_time", F.current_timestamp())),
+        })
         .withColumns({"_gap": F.col("_ms") - F.lag("_ms").over(local), "_pos": F.row_number().over(local)})
         # null gap: the predecessor, if any, is in an earlier chunk
         .withColumn("_opens", F.col("_gap") >= config.suppression_ms)
@@ -107,16 +128,4 @@ def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = CHUNK_
     run_ms = F.when(own, F.col("_run._ms")).otherwise(F.col("_starts_in._ms"))
     run_seq = F.when(own, F.col("_run.seq")).otherwise(F.col("_starts_in.seq"))
     repeat = (offset + F.col("_pos") - run_pos + 1).cast("int")
-    return joined.select(
-        alert_id(F.col("station_id"), rule, run_seq).alias("id"),
-        "station_id", "rule_code", "severity",
-        F.lit(ACTIVE).alias("status"),
-        "title", "reason",
-        with_json_entry(F.col("evidence"), "repeatCount", repeat).alias("evidence"),
-        F.timestamp_millis(run_ms).alias("triggered_at"),
-        F.lit(None).cast("timestamp").alias("acknowledged_at"),
-        F.lit(None).cast("timestamp").alias("resolved_at"),
-        F.timestamp_millis("_ms").alias("last_occurred_at"),
-        repeat.alias("repeat_count"),
-        "seq",
-    ).select(*ALERT_FIELDS, "seq")
+    return as_alert_events(joined, run_seq, run_ms, F.col("_ms"), repeat)

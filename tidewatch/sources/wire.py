@@ -15,7 +15,7 @@ def to_wire_event(stored: DataFrame) -> DataFrame:
     return stored.select(*MEASUREMENT_FIELDS)
 
 
-def _encode(df: DataFrame, wire: dict[str, tuple[str, str]]) -> DataFrame:
+def _encode(df: DataFrame, wire: dict[str, tuple[str, str]], keep: list[str] | None) -> DataFrame:
     entries = []
     for name, (column, kind) in wire.items():
         value = F.col(column)
@@ -25,14 +25,14 @@ def _encode(df: DataFrame, wire: dict[str, tuple[str, str]]) -> DataFrame:
             value = F.try_parse_json(value)
         entries.append(value.alias(name))
     body = F.to_json(F.struct(*entries), {"ignoreNullFields": "false"})
-    return df.select(F.col("station_id").alias("key"), body.alias("value"))
+    return df.select(*(keep or []), F.col("station_id").alias("key"), body.alias("value"))
 
 
-def encode_measurements(events: DataFrame) -> DataFrame:
+def encode_measurements(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``key`` = station, ``value`` = JSON: the record layout of the measurements topic."""
-    return _encode(events, MEASUREMENT_WIRE)
+    return _encode(events, MEASUREMENT_WIRE, keep)
 
 
-def encode_alert_events(events: DataFrame) -> DataFrame:
+def encode_alert_events(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``key`` = station or null, ``value`` = JSON: the record layout of the alerts topic."""
-    return _encode(events, ALERT_WIRE)
+    return _encode(events, ALERT_WIRE, keep)
