@@ -10,8 +10,8 @@ from helpers import (
 )
 from tidewatch.config import RuleConfig
 from tidewatch.functions.median import RollingMedian
-from tidewatch.operators.arrival import running_max
-from tidewatch.operators.rising import late_readings, rising_candidates, rising_windows
+from tidewatch.operators.arrival import previous_max, running_max
+from tidewatch.operators.rising import _split_by_clock, late_readings, rising_candidates, rising_windows
 from tidewatch.operators.rules import threshold_candidates
 from tidewatch.operators.spike import spike_baseline, spike_candidates, spikes
 from tidewatch.operators.stale import last_observed, stale_candidates, stale_gaps
@@ -133,15 +133,35 @@ def test_running_max(spark, chunk):
     rng = random.Random(chunk)
     values = [(rng.choice("ab"), i, rng.choice([None, rng.randint(0, 99)])) for i in range(60)]
     table = spark.createDataFrame(values, "k string, seq long, v long")
-    for keys, current in ((["k"], True), ([], False)):
-        expected, state = {}, {}
-        for k, i, v in values:
-            slot = k if keys else ""
-            before = state.get(slot)
-            state[slot] = max([x for x in (before, v) if x is not None], default=None)
-            expected[i] = state[slot] if current else before
-        got = running_max(table, F.col("v"), keys, "m", current, chunk)
-        assert {r.seq: r.m for r in got.collect()} == expected
+    expected, before, state, high = {}, {}, {}, None
+    for k, i, v in values:
+        state[k] = max([x for x in (state.get(k), v) if x is not None], default=None)
+        expected[i], before[i] = state[k], high
+        high = max([x for x in (high, v) if x is not None], default=None)
+    got = running_max(table, F.col("v"), ["k"], "m", chunk)
+    assert {r.seq: r.m for r in got.collect()} == expected
+    # nothing is declared unaffected: every row gets the exact value
+    settled, rest = previous_max(table, F.col("v"), "m", lambda low, high: F.lit(False), chunk)
+    assert settled.count() == 0
+    assert {r.seq: r.m for r in rest.collect()} == before
+
+
+@pytest.mark.parametrize("group", [1, 2, 7])
+def test_chunk_groups_carry_over(spark, monkeypatch, group):
+    from tidewatch.operators import arrival
+
+    monkeypatch.setattr(arrival, "GROUP_CHUNKS", group)
+    table = spark.createDataFrame([(i, (i * 37) % 101) for i in range(90)], "seq long, v long")
+    _, rest = previous_max(table, F.col("v"), "m", lambda low, high: F.lit(False), 3)
+    got = {r.seq: r.m for r in rest.collect()}
+    assert got == {i: max([(j * 37) % 101 for j in range(i)], default=None) for i in range(90)}
+
+
+def test_punctual_stretches_are_not_shuffled_by_arrival(spark, config):
+    rows = [reading(i, i * 0.5, 1.0) for i in range(40)] + [reading(40 + i, 20 + i * 0.5 - (i == 5) * 15, 1.0) for i in range(20)]
+    settled, rest = _split_by_clock(readings(spark, rows), config, 10)
+    assert {r.seq for r in settled.collect()} == {*range(40), *range(50, 60)}
+    assert {r.seq for r in rest.collect()} == set(range(40, 50))
 
 
 # ---- spike

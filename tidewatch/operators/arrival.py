@@ -8,12 +8,21 @@ summary per chunk carries the state across. ``seq`` is unique, so a chunk never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import div
+from tidewatch.session import materialize
 
-CHUNK_ROWS = 1 << 17
+# chunks over all keys: short enough that a dense stream crosses one within the allowed delay
+CHUNK_ROWS = 1 << 14
+# chunks scanned by one task before the scan over groups of chunks: 10^12 rows make 15,000 groups
+GROUP_CHUNKS = 1 << 12
+# chunks of single keys are longer: a key with a third of all rows still fills tasks of a few million,
+# and with very many keys a summary still stands for several rows
+KEY_CHUNK_ROWS = 1 << 24
 
 
 def chunk_of(seq: Column, chunk_rows: int) -> Column:
@@ -25,32 +34,75 @@ def running_max(
     value: Column,
     keys: list[str],
     name: str,
-    include_current: bool,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = KEY_CHUNK_ROWS,
 ) -> DataFrame:
-    """Add ``name``: maximum of ``value`` over the rows of the same keys that arrived before.
+    """Add ``name``: maximum of ``value`` over the rows of the same keys up to and including this one.
 
-    ``keys=[]`` runs over all rows. Costs one shuffle of the rows plus one partially aggregated
-    pass for the summaries.
+    Costs one shuffle of the rows plus one partially aggregated pass for the summaries.
     """
     chunked = rows.withColumns({"_value": value, "_chunk": chunk_of(F.col("seq"), chunk_rows)})
-    before = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy("_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     carried = (
         chunked.groupBy(*keys, "_chunk")
         .agg(F.max("_value").alias("_chunk_max"))
-        .select(*keys, "_chunk", F.max("_chunk_max").over(before).alias("_carried"))
+        .select(*keys, "_chunk", F.max("_chunk_max").over(earlier_chunks(keys)).alias("_carried"))
+    )
+    return _within_chunks(chunked.join(carried, [*keys, "_chunk"]), keys, name, include_current=True)
+
+
+def earlier_chunks(keys: list[str]) -> WindowSpec:
+    """All chunks of the key before the current one; runs over chunk summaries only."""
+    return (
+        Window.partitionBy(*(keys or [F.lit(0)]))
+        .orderBy("_chunk")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+
+
+def _within_chunks(chunked: DataFrame, keys: list[str], name: str, include_current: bool) -> DataFrame:
     local = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
-    return (
-        chunked.join(carried, [*keys, "_chunk"])
-        .withColumn(name, F.greatest(F.max("_value").over(local), F.col("_carried")))
-        .drop("_value", "_chunk", "_carried")
+    return chunked.withColumn(
+        name, F.greatest(F.max("_value").over(local), F.col("_carried"))
+    ).drop("_value", "_chunk", "_carried")
+
+
+def previous_max(
+    rows: DataFrame,
+    value: Column,
+    name: str,
+    unaffected: Callable[[Column, Column], Column],
+    chunk_rows: int = CHUNK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Split rows by whether the maximum of ``value`` over all earlier arrivals can matter to them.
+
+    ``unaffected(lowest, highest)`` tells from a chunk's lowest value and the highest value up to
+    its end that none of its rows depends on the exact maximum. Returns (rows of such chunks, rows
+    of the others with ``name`` added). Only the latter are shuffled; when arrivals are nearly in
+    order there are none. The list of other chunks is written out, so the planner knows its real
+    size and broadcasts it only while it is small.
+    """
+    chunked = rows.withColumns({"_value": value, "_chunk": chunk_of(F.col("seq"), chunk_rows)})
+    summaries = chunked.groupBy("_chunk").agg(
+        F.min("_value").alias("_low"), F.max("_value").alias("_high")
+    ).withColumn("_group", chunk_of(F.col("_chunk"), GROUP_CHUNKS))
+    groups = (
+        summaries.groupBy("_group")
+        .agg(F.max("_high").alias("_group_high"))
+        .withColumnRenamed("_group", "_chunk")
+        .withColumn("_group_carried", F.max("_group_high").over(earlier_chunks([])))
+        .select(F.col("_chunk").alias("_group"), "_group_carried")
+    )
+    summaries = summaries.join(groups, "_group").withColumn(
+        "_carried", F.greatest(F.max("_high").over(earlier_chunks(["_group"])), "_group_carried")
+    )
+    affected = materialize(
+        summaries.filter(~unaffected(F.col("_low"), F.greatest("_high", "_carried"))).select(
+            "_chunk", "_carried"
+        ),
+        "affected-chunks",
     )
+    settled = chunked.join(affected, "_chunk", "left_anti").drop("_value", "_chunk")
+    return settled, _within_chunks(chunked.join(affected, "_chunk"), [], name, include_current=False)

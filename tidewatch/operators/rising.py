@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import RuleConfig
 from tidewatch.functions.expr import div, epoch_ms, floor_to, iso_instant, json_object
-from tidewatch.operators.arrival import CHUNK_ROWS, running_max
+from tidewatch.operators.arrival import CHUNK_ROWS, previous_max
 from tidewatch.operators.rules import as_candidates
 from tidewatch.schemas import LEVEL_RISING_FAST
 
@@ -32,17 +32,27 @@ def _first_open(first: Column, config: RuleConfig) -> Column:
     return first + closed * slide
 
 
-def with_arrival_clock(readings: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``ms`` and ``prev_max_ms``, the highest event time among all earlier arrivals."""
-    return running_max(
-        readings.withColumn("ms", epoch_ms("observed_at")),
-        F.col("ms"), [], "prev_max_ms", include_current=False, chunk_rows=chunk_rows,
+def _split_by_clock(
+    readings: DataFrame, config: RuleConfig, chunk_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """(readings sure to be punctual, the others with ``prev_max_ms``); both carry ``ms``.
+
+    ``prev_max_ms`` is the highest event time among all earlier arrivals. A stretch of arrivals is
+    punctual when the first window of its earliest reading is still open at its very end.
+    """
+
+    def punctual(lowest: Column, highest: Column) -> Column:
+        first, _ = _window_starts(lowest, config)
+        return first + config.rising_window_ms > highest - config.watermark_ms
+
+    return previous_max(
+        readings.withColumn("ms", epoch_ms("observed_at")), F.col("ms"), "prev_max_ms", punctual, chunk_rows
     )
 
 
 def late_readings(readings: DataFrame, config: RuleConfig, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Readings none of whose windows was still open on arrival (record-granular replay)."""
-    clocked = with_arrival_clock(readings, chunk_rows)
+    _, clocked = _split_by_clock(readings, config, chunk_rows)
     first, last = _window_starts(F.col("ms"), config)
     return clocked.filter(_first_open(first, config) > last)
 
@@ -80,11 +90,15 @@ def rising_windows(
     size, slide = config.rising_window_ms, config.rising_slide_ms
     pane_ms = math.gcd(size, slide)
     if arrival_replay:
-        clocked = with_arrival_clock(readings, chunk_rows)
+        settled, clocked = _split_by_clock(readings, config, chunk_rows)
+    else:
+        settled, clocked = readings.withColumn("ms", epoch_ms("observed_at")), None
+    used = ["station_id", "seq", "ms", "water_level_m"]
+    unclocked = settled.select(*used, F.lit(None).cast("long").alias("prev_max_ms"))
+    if clocked is None:
+        clocked = unclocked
     else:
-        clocked = readings.select(
-            "*", epoch_ms("observed_at").alias("ms"), F.lit(None).cast("long").alias("prev_max_ms")
-        )
+        clocked = unclocked.unionByName(clocked.select(*used, "prev_max_ms"))
     pane = floor_to(F.col("ms"), pane_ms)
     first, last = _window_starts(F.col("pane"), config)
     panes = (

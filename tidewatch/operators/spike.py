@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import RuleConfig
 from tidewatch.functions.expr import div, epoch_ms, iso_instant, json_object
 from tidewatch.functions.median import RollingMedian
-from tidewatch.operators.arrival import CHUNK_ROWS, running_max
+from tidewatch.operators.arrival import KEY_CHUNK_ROWS, running_max
 from tidewatch.operators.rules import as_candidates
 from tidewatch.schemas import SENSOR_SPIKE
 
@@ -21,7 +21,7 @@ BASELINE = (
 )
 
 
-def spike_baseline(readings: DataFrame, config: RuleConfig, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def spike_baseline(readings: DataFrame, config: RuleConfig, chunk_rows: int = KEY_CHUNK_ROWS) -> DataFrame:
     """Every level-bearing reading with the size and exact median of its baseline.
 
     The baseline of a reading are the earlier arrivals that survived pruning: whenever a reading
@@ -41,8 +41,7 @@ def spike_baseline(readings: DataFrame, config: RuleConfig, chunk_rows: int = CH
         F.col("water_level_m").alias("level_m"),
     )
     tracked = running_max(
-        levels, F.col("event_ms"), ["station_id"], "clock_ms", include_current=True,
-        chunk_rows=chunk_rows,
+        levels, F.col("event_ms"), ["station_id"], "clock_ms", chunk_rows
     )
     cell = div(F.col("clock_ms"), window_ms)
     # a sample older than its own cell cannot survive into the next one

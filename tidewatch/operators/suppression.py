@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import RuleConfig
 from tidewatch.functions.expr import epoch_ms, stable_uuid, with_json_entry
-from tidewatch.operators.arrival import CHUNK_ROWS, chunk_of
+from tidewatch.operators.arrival import KEY_CHUNK_ROWS, chunk_of
 from tidewatch.schemas import ACTIVE, ALERT_FIELDS, LEVEL_RISING_FAST, STATION_STALE
 
 KEY = ["station_id", "rule_code"]
@@ -37,7 +37,7 @@ def as_alert_events(
     ).select(*ALERT_FIELDS, "seq")
 
 
-def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = KEY_CHUNK_ROWS) -> DataFrame:
     """Every candidate as an alert event carrying its run's id, start and repeat count.
 
     A candidate repeats its predecessor (in arrival order, per station and rule) when its event

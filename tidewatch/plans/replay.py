@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 
 from tidewatch.config import RuleConfig
 from tidewatch.operators.alerts import persistable, screen_events, upsert
-from tidewatch.operators.arrival import CHUNK_ROWS
 from tidewatch.operators.rising import rising_candidates, rising_windows
 from tidewatch.operators.rules import threshold_candidates
 from tidewatch.operators.spike import spike_baseline, spike_candidates, spikes
@@ -20,11 +19,10 @@ def all_candidates(
     config: RuleConfig,
     as_of: Column | None = None,
     arrival_replay: bool = True,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Candidates of all six rules. ``readings`` must be free of duplicate event ids."""
-    spiking = spikes(spike_baseline(readings, config, chunk_rows), config)
-    windows = rising_windows(readings, config, arrival_replay, chunk_rows)
+    spiking = spikes(spike_baseline(readings, config), config)
+    windows = rising_windows(readings, config, arrival_replay)
     return (
         threshold_candidates(readings, config)
         .unionByName(spike_candidates(spiking, config))
@@ -38,13 +36,10 @@ def alert_events(
     config: RuleConfig,
     as_of: Column | None = None,
     arrival_replay: bool = True,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """All candidates after suppression. Suppression reads its input twice, so it is written once."""
-    candidates = materialize(
-        all_candidates(readings, config, as_of, arrival_replay, chunk_rows), "candidates"
-    )
-    return suppress(candidates, config, chunk_rows)
+    candidates = materialize(all_candidates(readings, config, as_of, arrival_replay), "candidates")
+    return suppress(candidates, config)
 
 
 def alert_table(events: DataFrame, stations: DataFrame, stored: DataFrame | None = None) -> DataFrame:
