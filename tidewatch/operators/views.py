@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import epoch_ms, to_fixed
-from tidewatch.schemas import ACKNOWLEDGED, ACTIVE
+from tidewatch.schemas import ACKNOWLEDGED, ACTIVE, ALERT_FIELDS, MEASUREMENT_FIELDS
 
 # How many rows the recent-reading reports show.
 RECENT, RECENT_PER_STATION, FEED = 100, 50, 30
@@ -18,6 +18,16 @@ def _newest_first() -> list[Column]:
     return [F.col("observed_at").desc(), F.col("seq").asc()]
 
 
+def reading_output(readings: DataFrame) -> DataFrame:
+    """Stored readings as shown to callers: the submitted fields, without row id and receive time."""
+    return readings.select(*MEASUREMENT_FIELDS)
+
+
+def alert_output(alerts: DataFrame) -> DataFrame:
+    """Alert rows as shown to callers."""
+    return alerts.select(*ALERT_FIELDS)
+
+
 def station_by_id(stations: DataFrame, station_id: str) -> DataFrame:
     return stations.filter(F.col("id") == station_id)
 

@@ -5,6 +5,7 @@ Times leave as epoch milliseconds so that results do not depend on time-zone ren
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,23 +23,27 @@ from tidewatch.operators.spike import spike_baseline, spikes
 from tidewatch.operators.stale import last_observed, stale_gaps
 from tidewatch.operators.suppression import suppress
 from tidewatch.plans.replay import alert_events, alert_table, all_candidates
-from tidewatch.session import materialize, prepare
+from tidewatch.session import materialize, prepare, shared_dir
 from tidewatch.sources.decode import decode_alert_events, decode_measurements
-from tidewatch.sources.events import measurements, read_table, scrambled, stations
+from tidewatch.sources.events import event_stream, measurements, read_table, scrambled, stations
 from tidewatch.sources.wire import encode_alert_events, encode_measurements, to_wire_event
+from tidewatch.streaming import jobs
 
 CONFIG = RuleConfig()
 STATION = "3"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(fn):
-    """Register ``fn`` under its name, with the session settings in place."""
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare(spark), sf_dir)
+def query(name: str):
+    """Register a function under ``name``, with the session settings in place."""
+    def register(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(prepare(spark), sf_dir)
 
-    QUERIES[fn.__name__] = run
-    return run
+        QUERIES[name] = run
+        return fn
+
+    return register
 
 
 def ms(column: str, name: str) -> Column:
@@ -58,8 +63,8 @@ def clock_end(spark: SparkSession, sf: str) -> Column:
 
 # ---- rules on single readings
 
-@query
-def threshold_candidates_all(spark, sf):
+@query("threshold_candidates")
+def q_threshold_candidates(spark, sf):
     return slim_candidates(threshold_candidates(measurements(spark, sf), CONFIG))
 
 
@@ -69,26 +74,25 @@ def _fired(spark, sf, condition):
     )
 
 
-@query
-def level_high_readings(spark, sf):
+@query("level_high")
+def q_level_high(spark, sf):
     return _fired(spark, sf, level_high(CONFIG))
 
 
-@query
-def rain_intense_readings(spark, sf):
+@query("rain_intense")
+def q_rain_intense(spark, sf):
     return _fired(spark, sf, rain_intense(CONFIG))
 
 
-@query
-def level_and_rain_readings(spark, sf):
+@query("level_and_rain")
+def q_level_and_rain(spark, sf):
     return _fired(spark, sf, level_and_rain(CONFIG))
 
 
 # ---- ingest
 
-def raw_measurements(spark, sf) -> DataFrame:
+def raw_measurements(m: DataFrame) -> DataFrame:
     """Every reading as JSON text, thirteen kinds of payload by arrival number."""
-    m = measurements(spark, sf)
     kind = F.col("seq") % 13
 
     def entry(name: str, value: Column, missing: int) -> Column:
@@ -121,12 +125,12 @@ def raw_measurements(spark, sf) -> DataFrame:
         .when(kind == 10, F.lit("[1,2]"))
         .otherwise(body)
     )
-    return m.select("seq", value.alias("value"))
+    return m.select("seq", "received_at", value.alias("value"))
 
 
-@query
-def ingest_validation(spark, sf):
-    decoded = decode_measurements(raw_measurements(spark, sf), check_uuid=False)
+@query("ingest_validation")
+def q_ingest_validation(spark, sf):
+    decoded = decode_measurements(raw_measurements(measurements(spark, sf)), check_uuid=False)
     sound = F.col("error").isNull()
     return decoded.select(
         "seq",
@@ -138,9 +142,9 @@ def ingest_validation(spark, sf):
     )
 
 
-@query
-def malformed_by_error(spark, sf):
-    decoded = decode_measurements(raw_measurements(spark, sf), check_uuid=False)
+@query("malformed_by_error")
+def q_malformed_by_error(spark, sf):
+    decoded = decode_measurements(raw_measurements(measurements(spark, sf)), check_uuid=False)
     return decoded.filter(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -157,8 +161,8 @@ def submissions(spark, sf) -> DataFrame:
     })
 
 
-@query
-def submission_errors(spark, sf):
+@query("submission_errors")
+def q_submission_errors(spark, sf):
     checked = with_submission_errors(submissions(spark, sf))
     pairs = F.transform(
         F.array_sort(F.map_keys("errors")), lambda k: F.concat(k, F.lit(": "), F.col("errors")[k])
@@ -166,35 +170,35 @@ def submission_errors(spark, sf):
     return checked.select("seq", F.array_join(pairs, "; ").alias("errors"))
 
 
-@query
-def dedup_first(spark, sf):
+@query("dedup_first")
+def q_dedup_first(spark, sf):
     copies = measurements(spark, sf).withColumn("event_id", F.call_function("div", F.col("seq"), F.lit(3)).cast("string"))
     return ingest.first_arrivals(copies).select(
         "event_id", "seq", "station_id", ms("observed_at", "event_ms"), "water_level_m"
     )
 
 
-@query
-def unknown_station(spark, sf):
+@query("unknown_station")
+def q_unknown_station(spark, sf):
     rows = ingest.unknown_station(measurements(spark, sf), stations(spark, sf))
     return rows.select("event_id", "station_id", ms("observed_at", "event_ms"))
 
 
-@query
-def known_station(spark, sf):
+@query("known_station")
+def q_known_station(spark, sf):
     rows = ingest.known_station(measurements(spark, sf), stations(spark, sf))
     return rows.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def ingest_outcomes(spark, sf):
+@query("ingest_outcomes")
+def q_ingest_outcomes(spark, sf):
     return ingest.outcomes(submissions(spark, sf), stations(spark, sf)).select(
         "seq", "event_id", "outcome", "message"
     )
 
 
-@query
-def stored_measurements(spark, sf):
+@query("stored_measurements")
+def q_stored_measurements(spark, sf):
     labelled = ingest.outcomes(submissions(spark, sf), stations(spark, sf))
     return to_wire_event(ingest.accepted(labelled)).select(
         "event_id", "station_id", ms("observed_at", "event_ms"), "water_level_m",
@@ -202,8 +206,8 @@ def stored_measurements(spark, sf):
     )
 
 
-@query
-def wire_round_trip(spark, sf):
+@query("wire_round_trip")
+def q_wire_round_trip(spark, sf):
     sent = encode_measurements(to_wire_event(measurements(spark, sf)))
     return decode_measurements(sent, check_uuid=False).select(
         "key", "event_id", "station_id", ms("observed_at", "event_ms"), "water_level_m",
@@ -220,23 +224,23 @@ def _windows(windows: DataFrame) -> DataFrame:
     )
 
 
-@query
-def rising_windows_in_order(spark, sf):
+@query("rising_windows")
+def q_rising_windows(spark, sf):
     return _windows(rising_windows(measurements(spark, sf), CONFIG))
 
 
-@query
-def rising_windows_disordered(spark, sf):
+@query("rising_windows_disordered")
+def q_rising_windows_disordered(spark, sf):
     return _windows(rising_windows(scrambled(measurements(spark, sf)), CONFIG))
 
 
-@query
-def rising_alert_candidates(spark, sf):
+@query("rising_alert_candidates")
+def q_rising_alert_candidates(spark, sf):
     return slim_candidates(rising_candidates(rising_windows(measurements(spark, sf), CONFIG), CONFIG))
 
 
-@query
-def late_events(spark, sf):
+@query("late_events")
+def q_late_events(spark, sf):
     return late_readings(scrambled(measurements(spark, sf)), CONFIG).select(
         "event_id", "station_id", "ms", "prev_max_ms"
     )
@@ -250,42 +254,42 @@ def _baseline(baseline: DataFrame) -> DataFrame:
     )
 
 
-@query
-def spike_baseline_in_order(spark, sf):
+@query("spike_baseline")
+def q_spike_baseline(spark, sf):
     return _baseline(spike_baseline(measurements(spark, sf), CONFIG))
 
 
-@query
-def spike_baseline_disordered(spark, sf):
+@query("spike_baseline_disordered")
+def q_spike_baseline_disordered(spark, sf):
     return _baseline(spike_baseline(scrambled(measurements(spark, sf)), CONFIG))
 
 
-@query
-def spike_alerts(spark, sf):
+@query("spike_alerts")
+def q_spike_alerts(spark, sf):
     return spikes(spike_baseline(measurements(spark, sf), CONFIG), CONFIG).select(
         "station_id", "seq", "event_ms", "level_m", "baseline_count", "baseline_median_m", "delta_m"
     )
 
 
-@query
-def stale_alerts(spark, sf):
+@query("stale_alerts")
+def q_stale_alerts(spark, sf):
     return stale_gaps(measurements(spark, sf), CONFIG, clock_end(spark, sf))
 
 
-@query
-def last_observed_per_station(spark, sf):
+@query("last_observed")
+def q_last_observed(spark, sf):
     return last_observed(scrambled(measurements(spark, sf))).select(
         "station_id", ms("last_observed_at", "last_observed_ms")
     )
 
 
-@query
-def all_rule_candidates(spark, sf):
+@query("all_candidates")
+def q_all_candidates(spark, sf):
     return slim_candidates(all_candidates(measurements(spark, sf), CONFIG, clock_end(spark, sf)))
 
 
-@query
-def candidate_texts(spark, sf):
+@query("candidate_texts")
+def q_candidate_texts(spark, sf):
     return all_candidates(measurements(spark, sf), CONFIG, clock_end(spark, sf)).select(
         "station_id", "rule_code", "seq", "reason", "evidence"
     )
@@ -303,52 +307,92 @@ def _alert_columns(alerts: DataFrame, *more: str) -> DataFrame:
     )
 
 
-@query
-def suppressed_alert_events(spark, sf):
+@query("suppressed_alert_events")
+def q_suppressed_alert_events(spark, sf):
     return _alert_columns(_events(spark, sf), "seq")
 
 
-@query
-def alert_event_round_trip(spark, sf):
+@query("alert_event_round_trip")
+def q_alert_event_round_trip(spark, sf):
     sent = encode_alert_events(_events(spark, sf))
     back = decode_alert_events(sent, check_uuid=False)
     return _alert_columns(back, "key", "error")
 
 
-@query
-def suppressed_disordered(spark, sf):
+@query("suppressed_disordered")
+def q_suppressed_disordered(spark, sf):
     readings = scrambled(measurements(spark, sf))
     candidates = materialize(threshold_candidates(readings, CONFIG), "candidates")
     return _alert_columns(suppress(candidates, CONFIG), "seq")
 
 
+# ---- streaming runs
+
+def _run_stream(name: str, stream: DataFrame) -> DataFrame:
+    """Run a stream over all input there is and read back what it wrote."""
+    spark = jobs.use_rocksdb(stream.sparkSession)
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    (
+        stream.writeStream.queryName(name)
+        .outputMode("append")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{base}/out", format="parquet")
+        .awaitTermination()
+    )
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf):
+    """Raw payloads through the ingest stream; every id arrives twice, at different times."""
+    readings = event_stream(spark, sf)
+    pairs = readings.withColumn("event_id", F.call_function("div", F.col("seq"), F.lit(2)).cast("string"))
+    labelled = jobs.labelled_submissions(raw_measurements(pairs), stations(spark, sf), check_uuid=False)
+    return _run_stream("stream_ingest", labelled).select("seq", "outcome", "message")
+
+
+@query("stream_threshold_alerts")
+def q_stream_threshold_alerts(spark, sf):
+    """Threshold rules and the keyed run state as a stream."""
+    candidates = threshold_candidates(event_stream(spark, sf), CONFIG)
+    return _alert_columns(_run_stream("stream_threshold_alerts", jobs.suppress_stream(candidates, CONFIG)), "seq")
+
+
+@query("stream_rising")
+def q_stream_rising(spark, sf):
+    """Rise windows as a stream: those the watermark has closed by the end of the data."""
+    candidates = jobs.rising_stream(jobs.with_event_time(event_stream(spark, sf), CONFIG), CONFIG)
+    return slim_candidates(_run_stream("stream_rising", candidates))
+
+
 # ---- the alert table
 
 def _table(spark, sf) -> DataFrame:
     return alert_table(_events(spark, sf), stations(spark, sf))
 
 
-@query
-def alerts_current(spark, sf):
+@query("alerts_current")
+def q_alerts_current(spark, sf):
     return _alert_columns(_table(spark, sf))
 
 
-@query
-def alerts_rejected(spark, sf):
+@query("alerts_rejected")
+def q_alerts_rejected(spark, sf):
     screened = al.screen_events(_events(spark, sf), stations(spark, sf))
     return al.rejected(screened).select("id", "station_id", "rule_code", "seq", "reject_reason")
 
 
-@query
-def alerts_redelivered(spark, sf):
+@query("alerts_redelivered")
+def q_alerts_redelivered(spark, sf):
     """Persist everything, then receive the same events again: nothing may change."""
     events = materialize(_events(spark, sf), "events")
     table = alert_table(events, stations(spark, sf))
     return _alert_columns(alert_table(events, stations(spark, sf), table))
 
 
-@query
-def severity_parse(spark, sf):
+@query("severity_parse")
+def q_severity_parse(spark, sf):
     raw = (
         F.when(F.col("event_type") == "error", F.lit("critical"))
         .when(F.col("event_type") == "click", F.lit("High"))
@@ -386,30 +430,30 @@ def _commanded(spark, sf) -> tuple[DataFrame, DataFrame]:
     return al.apply_commands(table, commands_for(table))
 
 
-@query
-def ack_resolve(spark, sf):
+@query("ack_resolve")
+def q_ack_resolve(spark, sf):
     after, _ = _commanded(spark, sf)
     return after.select(
         "id", "status", ms("acknowledged_at", "acknowledged_ms"), ms("resolved_at", "resolved_ms")
     )
 
 
-@query
-def command_audit(spark, sf):
+@query("command_audit")
+def q_command_audit(spark, sf):
     _, audit = _commanded(spark, sf)
     return audit.select("alert_id", "action", "seq", "accepted", "reject_reason")
 
 
-@query
-def alerts_upgrade(spark, sf):
+@query("alerts_upgrade")
+def q_alerts_upgrade(spark, sf):
     old = _table(spark, sf).drop("last_occurred_at", "repeat_count")
     return _alert_columns(al.upgrade(old))
 
 
 # ---- stations
 
-@query
-def station_last_seen(spark, sf):
+@query("station_last_seen")
+def q_station_last_seen(spark, sf):
     accepted = ingest.accepted(ingest.outcomes(submissions(spark, sf), stations(spark, sf)))
     return st.touch_last_seen(stations(spark, sf), accepted).select("id", ms("last_seen_at", "last_seen_ms"))
 
@@ -429,27 +473,27 @@ def station_submissions(spark, sf) -> DataFrame:
     )
 
 
-@query
-def stations_register(spark, sf):
+@query("stations_register")
+def q_stations_register(spark, sf):
     return st.registration_outcomes(stations(spark, sf), station_submissions(spark, sf)).select(
         "seq", "station_code", "outcome"
     )
 
 
-@query
-def stations_after_register(spark, sf):
+@query("stations_after_register")
+def q_stations_after_register(spark, sf):
     return st.register(stations(spark, sf), station_submissions(spark, sf)).select(
         "station_code", "name", "status", F.col("created_at").isNotNull().alias("is_new")
     )
 
 
-@query
-def stations_all(spark, sf):
+@query("stations_all")
+def q_stations_all(spark, sf):
     return stations(spark, sf).select("id", "station_code", "name", "status")
 
 
-@query
-def station_lookup(spark, sf):
+@query("station_lookup")
+def q_station_lookup(spark, sf):
     by_id = views.station_by_id(stations(spark, sf), STATION)
     by_code = views.station_by_code(stations(spark, sf), "ST-7")
     return by_id.unionByName(by_code).select("id", "station_code", "name")
@@ -464,79 +508,79 @@ def _reading(rows: DataFrame, *more: str) -> DataFrame:
     )
 
 
-@query
-def recent_100(spark, sf):
+@query("recent_100")
+def q_recent_100(spark, sf):
     return _reading(views.recent(measurements(spark, sf)))
 
 
-@query
-def recent_50_of_station(spark, sf):
+@query("recent_50_of_station")
+def q_recent_50_of_station(spark, sf):
     return _reading(views.recent_of_station(measurements(spark, sf), STATION))
 
 
-@query
-def recent_50_per_station(spark, sf):
+@query("recent_50_per_station")
+def q_recent_50_per_station(spark, sf):
     return _reading(views.recent_per_station(measurements(spark, sf)), "rank")
 
 
-@query
-def station_history(spark, sf):
+@query("station_history")
+def q_station_history(spark, sf):
     return _reading(views.station_history(measurements(spark, sf), STATION))
 
 
-@query
-def stored_event_ids(spark, sf):
+@query("stored_event_ids")
+def q_stored_event_ids(spark, sf):
     wanted = read_table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("event_id"))
     return views.existing_event_ids(measurements(spark, sf), wanted)
 
 
-@query
-def latest_per_station(spark, sf):
+@query("latest_per_station")
+def q_latest_per_station(spark, sf):
     return _reading(views.latest_per_station(measurements(spark, sf)))
 
 
-@query
-def station_cards(spark, sf):
+@query("station_cards")
+def q_station_cards(spark, sf):
     return views.station_cards(stations(spark, sf), measurements(spark, sf)).select(
         "id", "name", ms("observed_at", "event_ms"), "reading"
     )
 
 
-@query
-def feed_30(spark, sf):
+@query("feed_30")
+def q_feed_30(spark, sf):
     return views.feed(measurements(spark, sf), stations(spark, sf)).select(
         "station_name", ms("observed_at", "event_ms"), "water_level", "rainfall", "flow_rate", "event_id"
     )
 
 
-@query
-def named_readings(spark, sf):
+@query("named_readings")
+def q_named_readings(spark, sf):
     """Every reading with its station name and its printed values."""
     named = views.with_station_name(measurements(spark, sf), stations(spark, sf))
     return named.select("event_id", "station_name", views.fixed_or_dash("water_level_m", 2).alias("water_level"))
 
 
-@query
-def active_alerts(spark, sf):
+@query("active_alerts")
+def q_active_alerts(spark, sf):
     after, _ = _commanded(spark, sf)
     return _alert_columns(views.active_alerts(after))
 
 
-@query
-def station_alerts(spark, sf):
+@query("station_alerts")
+def q_station_alerts(spark, sf):
     after, _ = _commanded(spark, sf)
     return _alert_columns(views.station_alerts(after, STATION))
 
 
-@query
-def alert_actions(spark, sf):
+@query("alert_actions")
+def q_alert_actions(spark, sf):
     after, _ = _commanded(spark, sf)
     return views.with_actions(after).select(
         "id", "status", F.array_join("actions", ",").alias("actions"), "repeat_text"
     )
 
 
-@query
-def panel_counts(spark, sf):
+@query("panel_counts")
+def q_panel_counts(spark, sf):
     after, _ = _commanded(spark, sf)
     return views.panel_counts(stations(spark, sf), after, measurements(spark, sf))

@@ -225,10 +225,10 @@ def select(ctes: str, body: str) -> str:
 
 
 ORACLE = {
-    "threshold_candidates_all": select(M + ", " + thresholds("m"), f"SELECT {SLIM} FROM threshold"),
-    "level_high_readings": select(M, f"SELECT {READING} FROM m WHERE level >= 4.0"),
-    "rain_intense_readings": select(M, f"SELECT {READING} FROM m WHERE rain >= 20.0"),
-    "level_and_rain_readings": select(M, f"SELECT {READING} FROM m WHERE level >= 3.0 AND rain >= 15.0"),
+    "threshold_candidates": select(M + ", " + thresholds("m"), f"SELECT {SLIM} FROM threshold"),
+    "level_high": select(M, f"SELECT {READING} FROM m WHERE level >= 4.0"),
+    "rain_intense": select(M, f"SELECT {READING} FROM m WHERE rain >= 20.0"),
+    "level_and_rain": select(M, f"SELECT {READING} FROM m WHERE level >= 3.0 AND rain >= 15.0"),
     "ingest_validation": select(RAW, """
 SELECT seq, verdict, CASE WHEN verdict = 'valid' THEN station_id END AS station_id,
        CASE WHEN verdict = 'valid' THEN ms END AS event_ms,
@@ -259,7 +259,7 @@ SELECT event_id, station_id, ms AS event_ms, level AS water_level_m, rain AS rai
     "wire_round_trip": select(M, f"""
 SELECT station_id AS key, {READING}, CAST(NULL AS DOUBLE) AS flow_rate_m3s,
        CAST(1 AS INTEGER) AS schema_version, CAST(NULL AS VARCHAR) AS error FROM m"""),
-    "rising_windows_in_order": select(M + ", " + windows("m"), f"SELECT {WINDOW} FROM rising"),
+    "rising_windows": select(M + ", " + windows("m"), f"SELECT {WINDOW} FROM rising"),
     "rising_windows_disordered": select(D + ", " + windows("d"), f"SELECT {WINDOW} FROM rising"),
     "rising_alert_candidates": select(
         ", ".join([M, windows("m"), RISING_CANDIDATES]), f"SELECT {SLIM} FROM rising_c"
@@ -267,14 +267,14 @@ SELECT station_id AS key, {READING}, CAST(NULL AS DOUBLE) AS flow_rate_m3s,
     "late_events": select(D + ", " + windows("d"), f"""
 SELECT event_id, station_id, ms, pm AS prev_max_ms FROM clocked
 WHERE ms - ms % {5 * MINUTE} + {15 * MINUTE} <= pm - {5 * MINUTE}"""),
-    "spike_baseline_in_order": select(M + ", " + baseline("m"), f"SELECT {BASE} FROM base"),
+    "spike_baseline": select(M + ", " + baseline("m"), f"SELECT {BASE} FROM base"),
     "spike_baseline_disordered": select(D + ", " + baseline("d"), f"SELECT {BASE} FROM base"),
     "spike_alerts": select(M + ", " + baseline("m"), f"SELECT {BASE}, delta_m FROM spike"),
     "stale_alerts": select(M + ", " + STALE, "SELECT station_id, fire_ms, last_observed_ms FROM stale"),
-    "last_observed_per_station": select(
+    "last_observed": select(
         D, "SELECT station_id, arg_max(ms, seq) AS last_observed_ms FROM d GROUP BY station_id"
     ),
-    "all_rule_candidates": select(CANDIDATES, f"SELECT {SLIM} FROM cand"),
+    "all_candidates": select(CANDIDATES, f"SELECT {SLIM} FROM cand"),
     "suppressed_alert_events": select(EVENTS, f"SELECT {ALERT}, seq FROM ev"),
     "alert_event_round_trip": select(
         EVENTS, f"SELECT {ALERT}, station_id AS key, CAST(NULL AS VARCHAR) AS error FROM ev"
@@ -282,6 +282,19 @@ WHERE ms - ms % {5 * MINUTE} + {15 * MINUTE} <= pm - {5 * MINUTE}"""),
     "suppressed_disordered": select(
         ", ".join([D, thresholds("d"), suppressed("threshold")]), f"SELECT {ALERT}, seq FROM ev"
     ),
+    "stream_threshold_alerts": select(
+        ", ".join([M, thresholds("m"), suppressed("threshold")]), f"SELECT {ALERT}, seq FROM ev"
+    ),
+    "stream_rising": select(", ".join([M, windows("m"), RISING_CANDIDATES]), f"""
+SELECT {SLIM} FROM rising_c WHERE seq <= (SELECT max(ms) FROM m) - {5 * MINUTE}"""),
+    "stream_ingest": select(RAW + ", " + STATIONS, """
+SELECT seq, CASE WHEN verdict <> 'valid' THEN 'MALFORMED' WHEN unknown THEN 'ERROR'
+                 WHEN rn = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS outcome,
+       CASE WHEN verdict <> 'valid' THEN verdict WHEN unknown THEN 'Station not found'
+            WHEN rn = 1 THEN 'Measurement accepted for processing'
+            ELSE 'Measurement with this eventId already exists' END AS message
+FROM (SELECT *, row_number() OVER (PARTITION BY seq // 2, verdict <> 'valid' OR unknown ORDER BY seq) AS rn
+      FROM (SELECT *, station_id NOT IN (SELECT id FROM stations) AS unknown FROM verdicts))"""),
     "alerts_current": select(TABLE, f"SELECT {ALERT} FROM alerts"),
     "alerts_rejected": select(EVENTS + ", " + STATIONS, """
 SELECT id, station_id, rule_code, seq, 'unknown station' AS reject_reason FROM ev

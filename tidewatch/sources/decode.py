@@ -42,37 +42,35 @@ ALERT_WIRE = {
 def _decode(raw: DataFrame, wire: dict[str, tuple[str, str]], value: str, uuids: list[str]) -> DataFrame:
     """Add the fields of ``wire`` and ``decode_error`` (null when the document is well formed).
 
-    A field is read once as its type, once as text and once for its JSON shape; the verdict then
-    works on those columns. A blank string counts as null for everything but plain text, as
+    A field is read once as its type and once as text; the verdict then works on those columns. A blank string counts as null for everything but plain text, as
     lenient JSON mappers do.
 
     The document and its fields pass through one-element generators: a filter on the verdict
     cannot be pushed below them, where it would repeat the parsing for every field it mentions.
     """
-    read, defects = {}, []
+    read, defect = {}, F.lit(False)
     for name, (column, kind) in wire.items():
         path, document = f"$.{name}", F.col("_doc")
-        if kind == "json":
-            read[column] = F.try_variant_get(document, path, "string")
-            continue
-        read[column] = F.try_variant_get(document, path, kind)
-        read[f"_shape_{column}"] = F.call_function(
-            "schema_of_variant", F.try_variant_get(document, path, "variant")
-        )
-        shape = F.col(f"_shape_{column}")
-        wrong = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-        if kind != "string":
-            read[f"_text_{column}"] = F.try_variant_get(document, path, "string")
+        text = F.try_variant_get(document, path, "string")
+        read[column] = text if kind == "json" else F.try_variant_get(document, path, kind)
+        if kind == "string":
+            # text that looks like JSON may be a nested value or just such text
+            shape = F.call_function("schema_of_variant", F.try_variant_get(document, path, "variant"))
+            read[f"_nested_{column}"] = F.when(text.rlike(r"^[{\[]"), shape.rlike("^(OBJECT|ARRAY)"))
+            defect = defect | F.coalesce(f"_nested_{column}", F.lit(False))
+        elif kind != "json":
+            read[f"_text_{column}"] = text
             text = F.col(f"_text_{column}")
-            wrong = wrong | (shape == "BOOLEAN") | (F.col(column).isNull() & ~is_blank(text))
-        defects.append(F.coalesce(wrong, F.lit(False)))
+            lost = F.col(column).isNull() & ~is_blank(text)
+            # no flag is a number or a time
+            defect = defect | F.coalesce(text.isin("true", "false") | lost, F.lit(False))
     for column in uuids:
         read[column] = F.lower(F.trim(read[column]))
-        defects.append(F.coalesce((F.col(column) != "") & ~F.col(column).rlike(UUID_PATTERN), F.lit(False)))
+        defect = defect | F.coalesce((F.col(column) != "") & ~F.col(column).rlike(UUID_PATTERN), F.lit(False))
     error = (
         F.when(F.col(value).isNull() | is_blank(F.col(value)), F.lit(EMPTY))
         .when(F.col("_unparsed") | ~F.ltrim(F.col(value)).startswith("{"), F.lit(PARSE_ERROR))
-        .when(F.array_contains(F.array(*defects), True), F.lit(PARSE_ERROR))
+        .when(defect, F.lit(PARSE_ERROR))
     )
     fields = [column for column, _ in wire.values()]
     document = F.explode(F.array(F.try_parse_json(F.col(value)))).alias("_doc")

@@ -23,8 +23,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``events`` row as a reading of one of ten stations."""
+    return _as_measurements(read_table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same readings as a stream of the table's files."""
+    files = spark.readStream.schema(COLUMNS["events"]).option("pathGlobFilter", "events*.parquet")
+    return _as_measurements(files.parquet(sf_dir))
+
+
+def _as_measurements(events: DataFrame) -> DataFrame:
     observed = truncate_ms(F.col("ts").cast("timestamp"))
-    return read_table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").cast("string").alias("event_id"),
         (F.col("user_id") % 10).cast("string").alias("station_id"),
         observed.alias("observed_at"),

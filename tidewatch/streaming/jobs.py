@@ -184,8 +184,7 @@ def alert_stream(readings: DataFrame, config: RuleConfig) -> DataFrame:
     baseline, the silence timer and the run counter are keyed state. Late readings miss the rise
     windows alone: the keyed operators run without event-time eviction.
     """
-    timed = readings.withWatermark("observed_at", f"{config.watermark_min} minutes")
-
+    timed = with_event_time(readings, config)
     facts = (
         timed.select("station_id", "seq", "water_level_m", epoch_ms("observed_at").alias("event_ms"))
         .groupBy("station_id")
@@ -198,6 +197,21 @@ def alert_stream(readings: DataFrame, config: RuleConfig) -> DataFrame:
         facts, F.col("rule_code"), reason, evidence, F.timestamp_millis("event_ms")
     )
 
+    return suppress_stream(
+        threshold_candidates(timed, config)
+        .unionByName(station_rules)
+        .unionByName(rising_stream(timed, config)),
+        config,
+    )
+
+
+def with_event_time(readings: DataFrame, config: RuleConfig) -> DataFrame:
+    """Bounded disorder on event time, declared before any reading is filtered away."""
+    return readings.withWatermark("observed_at", f"{config.watermark_min} minutes")
+
+
+def rising_stream(timed: DataFrame, config: RuleConfig) -> DataFrame:
+    """Candidates of the rise rule, once per closed window; state is two readings per window."""
     window = F.window(
         "observed_at", f"{config.rising_window_min} minutes", f"{config.rising_slide_min} minutes"
     )
@@ -206,13 +220,13 @@ def alert_stream(readings: DataFrame, config: RuleConfig) -> DataFrame:
         .groupBy("station_id", window.alias("window"))
         .agg(*boundary_readings(epoch_ms("observed_at")))
     )
-    rising = rising_candidates(
+    return rising_candidates(
         two_point_windows(windows, epoch_ms("window.start"), epoch_ms("window.end")), config
     )
 
-    candidates = (
-        threshold_candidates(timed, config).unionByName(station_rules).unionByName(rising)
-    )
+
+def suppress_stream(candidates: DataFrame, config: RuleConfig) -> DataFrame:
+    """Alert events of a candidate stream: the keyed form of ``operators.suppression``."""
     runs = (
         candidates.withColumn("event_ms", epoch_ms(F.coalesce("event_time", F.current_timestamp())))
         .drop("event_time")
