@@ -204,6 +204,26 @@ def test_alert_table_versions(spark, tmp_path):
     assert table.manifest() == second
 
 
+def test_failed_attempt_is_repeated_whole(spark, tmp_path):
+    table, known = AlertTable(spark, str(tmp_path / "alerts")), stations(spark, "s1")
+    table.apply(0, events(spark, event(1, "a")), known)
+    batch = events(spark, event(2, "a", minutes=9, count=2), event(3, "b"))
+    asked = commands(spark, ("a", ACK, 10), ("b", RES, 11), ("b", ACK, 12))
+
+    def fail(_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        table.apply(1, batch, known, asked, fail)
+    assert {(r.id, r.status, r.repeat_count) for r in table.read().collect()} == {("a", "ACTIVE", 1)}
+    seen = []
+    table.apply(1, batch, known, asked, lambda verdicts: seen.extend(verdicts.orderBy("seq").collect()))
+    assert [r.accepted for r in seen] == [True, True, False]
+    assert {(r.id, r.status, r.repeat_count) for r in table.read().collect()} == {
+        ("a", "ACKNOWLEDGED", 2), ("b", "RESOLVED", 1)
+    }
+
+
 # ---- stations
 
 def test_registration(spark):

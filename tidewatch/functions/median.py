@@ -27,7 +27,7 @@ class RollingMedian:
 
     def add(self, time: int, value: float) -> None:
         key = float("inf") if value != value else value
-        self._settle()
+        # a dead top still separates the halves, so no clean-up is needed here
         to_low = bool(self.low) and key <= -self.low[0][0]
         sample = self.next_id
         self.next_id += 1
@@ -62,24 +62,25 @@ class RollingMedian:
     def _settle(self) -> None:
         """Drop dead tops and restore: smaller half holds the extra sample when the count is odd."""
         low, high, side = self.low, self.high, self.side
-        wanted = (len(side) + 1) // 2
-        while True:
-            while low and low[0][1] not in side:
-                heapq.heappop(low)
-            while high and high[0][1] not in side:
-                heapq.heappop(high)
-            if self.low_size > wanted:
-                key, sample, value = heapq.heappop(low)
-                heapq.heappush(high, (-key, sample, value))
+        push, pop = heapq.heappush, heapq.heappop
+        surplus = self.low_size - (len(side) + 1) // 2
+        while surplus > 0:
+            key, sample, value = pop(low)
+            if sample in side:
+                push(high, (-key, sample, value))
                 side[sample] = False
-                self.low_size -= 1
-            elif self.low_size < wanted:
-                key, sample, value = heapq.heappop(high)
-                heapq.heappush(low, (-key, sample, value))
+                surplus -= 1
+        while surplus < 0:
+            key, sample, value = pop(high)
+            if sample in side:
+                push(low, (-key, sample, value))
                 side[sample] = True
-                self.low_size += 1
-            else:
-                return
+                surplus += 1
+        while low and low[0][1] not in side:
+            pop(low)
+        while high and high[0][1] not in side:
+            pop(high)
+        self.low_size = (len(side) + 1) // 2
 
 
 # ship this module inside serialized functions, so executors need no installed copy

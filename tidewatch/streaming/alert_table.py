@@ -1,6 +1,6 @@
 """The alert table as a foreachBatch sink.
 
-Rows live under ``data/version=<batch>/triggered_date=<day>/``; a manifest names the version that
+Rows live under ``data/version=<v>/triggered_date=<day>/``; a manifest names the version that
 holds each day. A batch rewrites only the days its alerts were triggered on and then replaces the
 manifest in one rename, so readers see whole batches and a repeated batch changes nothing. Every
 event of an alert carries the alert's trigger time (suppression guarantees it), so the day is known
@@ -10,6 +10,8 @@ without a search. Where a table format with MERGE is at hand, use that and ``ope
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,47 +69,43 @@ class AlertTable:
         paths = [f"{self.path}/data/version={v}/{DAY}={d}" for d, v in sorted(chosen.items())]
         return self.spark.read.schema(ALERT).parquet(*paths)
 
-    def _commit(self, version: str, rows: DataFrame, days: list[str]) -> None:
-        manifest = self.manifest()
-        dated = rows.withColumn(DAY, F.to_date("triggered_at").cast("string"))
-        # rows of one day are spread by id, so that a busy day is not one task
-        dated.repartition(DAY, F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy(
-            DAY
-        ).parquet(f"{self.path}/data/version={version}")
-        manifest["days"].update({d: version for d in days})
-        self._publish(manifest)
-
     def apply(
         self,
         batch_id: int,
         events: DataFrame,
         stations: DataFrame,
         commands: DataFrame | None = None,
-    ) -> tuple[DataFrame, DataFrame | None]:
-        """Persist a batch's events, then its commands. Returns rejected events and command audit."""
+        audit: Callable[[DataFrame], None] | None = None,
+    ) -> DataFrame:
+        """Persist a batch's events, then its commands, in one commit. Returns the rejected events.
+
+        ``audit`` receives the verdict on every command before the commit. Written versions are never
+        changed: each attempt writes a new one, and what a failed attempt left is not referenced.
+        """
         screened = screen_events(events, stations)
-        audit = None
         manifest = self.manifest()
-        if batch_id > manifest["committed"]:
-            good = persistable(screened)
-            days = _days(good)
-            if days:
-                self._commit(f"{batch_id}e", upsert(self.read(days), good), days)
-            if commands is not None:
-                audit = self._command(batch_id, commands)
-            manifest = self.manifest()
-            manifest["committed"] = batch_id
-            self._publish(manifest)
-        return rejected(screened), audit
-
-    def _command(self, batch_id: int, commands: DataFrame) -> DataFrame:
-        wanted = commands.select(F.col("alert_id").alias("id")).distinct()
-        days = _days(self.read().select("id", "triggered_at").join(wanted, "id", "left_semi"))
-        before = self.read(days)
-        after, audit = apply_commands(before, commands)
+        if batch_id <= manifest["committed"]:
+            return rejected(screened)
+        good = persistable(screened)
+        days = set(_days(good))
+        if commands is not None:
+            wanted = commands.select(F.col("alert_id").alias("id")).distinct()
+            days |= set(_days(self.read().select("id", "triggered_at").join(wanted, "id", "left_semi")))
+        after = upsert(self.read(sorted(days)), good)
+        if commands is not None:
+            after, verdicts = apply_commands(after, commands)
+            if audit is not None:
+                audit(verdicts)
         if days:
-            self._commit(f"{batch_id}c", after, days)
-        return audit
+            version = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"
+            # rows of one day are spread by id, so that a busy day is not one task
+            after.withColumn(DAY, F.to_date("triggered_at").cast("string")).repartition(
+                DAY, F.pmod(F.xxhash64("id"), F.lit(16))
+            ).write.partitionBy(DAY).parquet(f"{self.path}/data/version={version}")
+            manifest["days"].update(dict.fromkeys(days, version))
+        manifest["committed"] = batch_id
+        self._publish(manifest)
+        return rejected(screened)
 
 
 def _days(rows: DataFrame) -> list[str]:

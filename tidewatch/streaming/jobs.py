@@ -272,10 +272,11 @@ def persistence_sink(
             commands = batch.filter(F.col("kind") == "command").select(
                 F.from_json("value", COMMAND.replace(", seq long", "")).alias("c"), "seq"
             ).select("c.*", "seq")
-            turned_away, audit = table.apply(batch_id, events, stations(), commands)
+            turned_away = table.apply(
+                batch_id, events, stations(), commands,
+                lambda verdicts: verdicts.write.mode("overwrite").parquet(f"{base}/command_audit/{part}"),
+            )
             turned_away.write.mode("overwrite").parquet(f"{base}/alert_rejects/{part}")
-            if audit is not None:
-                audit.write.mode("overwrite").parquet(f"{base}/command_audit/{part}")
         finally:
             batch.unpersist()
 
