@@ -209,6 +209,13 @@ def test_late_reading_sees_newer_samples_and_pruning_is_permanent(spark, config)
     assert got == {0: (0, None), 1: (0, None), 2: (1, 2.0), 3: (2, 2.5), 4: (1, 2.0)}
 
 
+def test_nan_levels_stay_nan_and_sort_last(spark, config):
+    table = readings(spark, [reading(i, i, lv) for i, lv in enumerate([1.0, float("nan"), 3.0, 3.2])])
+    got = {r.seq: r for r in spike_baseline(table, config).collect()}
+    assert got[1].level_m != got[1].level_m
+    assert (got[3].baseline_count, got[3].baseline_median_m) == (3, 3.0)
+
+
 @pytest.mark.parametrize("seed, chunk", [(1, 5), (2, 17), (3, 1000)])
 def test_baseline_matches_sequential_model(spark, config, seed, chunk):
     rows = disordered(220, seed, spread=120)

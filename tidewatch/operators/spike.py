@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,25 +52,28 @@ def spike_baseline(readings: DataFrame, config: RuleConfig, chunk_rows: int = KE
     )
     ordered = laid_out.repartition("station_id", "cell").sortWithinPartitions("station_id", "cell", "seq")
 
-    def baselines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def baselines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, samples = None, None
         for batch in batches:
-            counts, medians = [], []
-            columns = (batch[c].tolist() for c in ("station_id", "cell", "own_cell", "event_ms", "level_m"))
+            counts, medians, own = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("station_id", "cell", "own_cell", "event_ms", "level_m"))
             for station, cell_no, own_cell, ms, level in zip(*columns, strict=True):
                 if (station, cell_no) != current:
                     current, samples = (station, cell_no), RollingMedian()
                 samples.expire(ms - window_ms)
                 size = len(samples)
                 counts.append(size)
+                own.append(own_cell == cell_no)
                 medians.append(samples.median() if size and own_cell == cell_no else None)
                 samples.add(ms, level)
-            batch["baseline_count"] = counts
-            batch["baseline_median_m"] = pd.Series(medians, index=batch.index, dtype="float64")
-            own = batch["own_cell"] == batch["cell"]
-            yield batch.loc[own, ["station_id", "seq", "event_ms", "level_m", "baseline_count", "baseline_median_m"]]
-
-    return ordered.mapInPandas(baselines, BASELINE)
+            kept = [batch.column(c) for c in ("station_id", "seq", "event_ms", "level_m")]
+            judged = pa.RecordBatch.from_arrays(
+                [*kept, pa.array(counts, pa.int32()), pa.array(medians, pa.float64())],
+                names=["station_id", "seq", "event_ms", "level_m", "baseline_count", "baseline_median_m"],
+            )
+            yield judged.filter(pa.array(own, pa.bool_()))
+
+    return ordered.mapInArrow(baselines, BASELINE)
 
 
 def spikes(baseline: DataFrame, config: RuleConfig) -> DataFrame:
