@@ -88,6 +88,9 @@ class AlertTable:
             return rejected(screened)
         good = persistable(screened)
         days = set(_days(good))
+        # finding the days of commanded alerts reads every alert's id, so only when there are commands
+        if commands is not None and commands.isEmpty():
+            commands = None
         if commands is not None:
             wanted = commands.select(F.col("alert_id").alias("id")).distinct()
             days |= set(_days(self.read().select("id", "triggered_at").join(wanted, "id", "left_semi")))
