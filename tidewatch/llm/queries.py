@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, packing, simhash, token_store
+from tidewatch.llm import bpe, metric_join, packing, simhash, token_store, topk
 from tidewatch.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,46 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@query("op1_metric_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+ORACLE["op1_metric_join"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x != 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+      ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id != b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(node, root) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+), roots AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN roots ON node = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = e.vec_id
+"""
+
+
+@query("op7_top_products")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+ORACLE["op7_top_products"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id != c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
