@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, metric_join, packing, simhash, token_store, topk
+from tidewatch.llm import bpe, metric_join, packing, secrets, simhash, token_store, topk
 from tidewatch.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,51 @@ WITH v AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10
 """
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"), path_column="doc_id")
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE))
+
+    def number(rule: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# the pattern has to be a constant in DuckDB, so the rules are spelt out one by one
+MATCHED = "\n  UNION ALL ".join(
+    f"SELECT doc_id, {i} AS rule, {quoted(r.kind)} AS kind, {r.least} AS least, regexp_split_to_array(t, {quoted(r.pattern)}) AS gaps, "
+    f"regexp_extract_all(t, {quoted(r.pattern)}) AS hits, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS vals "
+    f"FROM texts WHERE regexp_matches(t, {quoted(r.pattern)})" for i, r in enumerate(secrets.RULES))
+ORACLE["op10_secret_scan"] = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matched AS (
+  {MATCHED}
+), numbered AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM matched),
+spans AS (
+  SELECT doc_id, rule, kind, s AS start, s + length(hits[k]) AS stop FROM (
+    SELECT *, list_sum(list_transform(gaps[1:k], lambda x: length(x)))::BIGINT
+            + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0)::BIGINT AS s FROM numbered
+  ) WHERE length(vals[k]) >= least
+), byd AS (
+  SELECT doc_id,
+    count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access, count(*) FILTER (rule = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) FILTER (rule < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN byd USING (doc_id)
+"""
