@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, metric_join, packing, secrets, simhash, token_store, topk, toxicity
+from tidewatch.llm import bpe, line_dedup, metric_join, packing, secrets, simhash, token_store, topk, toxicity
 from tidewatch.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
