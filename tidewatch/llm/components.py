@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import materialize
+from tidewatch.llm.storage import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:

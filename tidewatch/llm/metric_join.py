@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
 from tidewatch.llm.vectors import matrix, usable
-from tidewatch.session import materialize
+from tidewatch.llm.storage import materialize
 
 CELL = 4_096
 BLOCK = 2_048

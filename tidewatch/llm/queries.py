@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, line_dedup, metric_join, packing, secrets, simhash, token_store, topk, toxicity
+from tidewatch.llm import bpe, line_dedup, lm, metric_join, packing, secrets, simhash, token_store, topk, toxicity
 from tidewatch.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: shingle length in words and maximum bit distance of the SimHash near-duplicates
+SHINGLE, SIMHASH_BITS = 3, 3
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -66,7 +68,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, SIMHASH_BITS)
 
 
 @query("op1_metric_join")
@@ -182,3 +184,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"),
         F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query("op6_lm_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.log_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_tokens", F.round("log_score", 5).alias("log_score"))
+
+
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
+ORACLE["op6_lm_scores"] = f"""
+WITH tokens AS (
+    SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos
+    FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {quoted(PIECES)}) AS w FROM documents)
+), grams AS (
+    SELECT doc_id, w, pos, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM tokens
+), counted AS (
+    SELECT doc_id, prev, w, pos,
+        count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+        count(*) OVER (PARTITION BY prev, w) - count(*) OVER (PARTITION BY doc_id, prev, w) AS c2,
+        greatest(count(*) OVER () - count(*) OVER (PARTITION BY doc_id), 1) AS rest
+    FROM grams
+), scored AS (
+    SELECT doc_id, CASE
+        WHEN prev IS NOT NULL AND c2 > 0 THEN ln(c2 / lag(c1) OVER (PARTITION BY doc_id ORDER BY pos))
+        ELSE CASE WHEN prev IS NULL THEN 0 ELSE ln({lm.ALPHA}) END
+           + CASE WHEN c1 > 0 THEN ln(c1 / rest) ELSE ln({lm.ALPHA}) - ln(rest) END END AS s
+    FROM counted
+)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(s, 0), 5) AS log_score
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id) USING (doc_id)
+"""

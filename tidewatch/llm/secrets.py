@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import materialize
+from tidewatch.llm.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -127,6 +127,17 @@ def secrets(versions: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFram
         F.col("path").alias(path_column), F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
+def without_secrets(versions: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]",
+                    path_column: str = "path", text_column: str = "text") -> DataFrame:
+    """``versions`` with every secret in the texts replaced by ``mask``; all rows and columns stay."""
+    found = materialize(scan(versions, rules, None, path_column, text_column), "findings")
+    spans = spans_by_blob(found).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    blob = F.unhex(F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
+    joined = versions.join(spans, blob == F.col("_blob"), "left")
+    text = F.when(F.col("_spans").isNull(), F.col(text_column)).otherwise(masked(F.col(text_column), F.col("_spans"), mask))
+    return joined.select(*[text.alias(c) if c == text_column else F.col(c) for c in versions.columns])
+
+
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])

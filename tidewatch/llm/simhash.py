@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
 from tidewatch.llm.encoding import blocks
-from tidewatch.session import materialize
+from tidewatch.llm.storage import materialize
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidewatch.session import materialize
+from tidewatch.llm.storage import materialize
 
 SAMPLE = 20_000
 ENTRIES = 4_000
