@@ -193,15 +193,46 @@ def test_alert_table_versions(spark, tmp_path):
     assert table.read().count() == 0
     table.apply(0, events(spark, event(1, "a"), event(2, "b", triggered=24 * 60)), known)
     first = table.manifest()
-    assert first["committed"] == 0 and set(first["days"]) == {"2026-09-26", "2026-09-27"}
+    assert first["committed"] == {"": 0} and len(first["buckets"]) == 2
     table.apply(1, events(spark, event(3, "a", minutes=9, count=2)), known)
     second = table.manifest()
-    # only the touched day was rewritten
-    assert second["days"]["2026-09-27"] == first["days"]["2026-09-27"]
-    assert second["days"]["2026-09-26"] != first["days"]["2026-09-26"]
+    # only the touched bucket was rewritten
+    assert len(set(second["buckets"].items()) & set(first["buckets"].items())) == 1
     assert {(r.id, r.repeat_count) for r in table.read().collect()} == {("a", 2), ("b", 1)}
     table.apply(1, events(spark, event(3, "a", minutes=9, count=99)), known)
     assert table.manifest() == second
+    # another run's batches begin at 0 again and are not taken for these
+    table.apply(0, events(spark, event(4, "c")), known, run="next")
+    assert {r.id for r in table.read().collect()} == {"a", "b", "c"}
+
+
+def test_repeats_keep_one_row_across_midnight(spark, tmp_path):
+    table, known = AlertTable(spark, str(tmp_path / "alerts")), stations(spark, "s1")
+    table.apply(0, events(spark, event(1, "a", triggered=5)), known)
+    table.apply(1, events(spark, event(2, "a", minutes=26 * 60, count=2, triggered=25 * 60)), known)
+    rows = table.read().collect()
+    assert [(r.id, r.triggered_at, r.repeat_count) for r in rows] == [("a", clock(5), 2)]
+
+
+def test_repeats_without_a_trigger_time(spark, tmp_path):
+    table, known = AlertTable(spark, str(tmp_path / "alerts")), stations(spark, "s1")
+    untimed = lambda *rows: events(spark, *rows).withColumn(
+        "triggered_at", F.when(F.col("seq") % 2 == 0, F.col("triggered_at")))
+    # seq 1 comes before anything is known of a, seq 3 after it, seq 5 is of an unknown id
+    batch = untimed(event(1, "a"), event(2, "a"), event(3, "a", minutes=7, count=3), event(5, "b"))
+    turned = table.apply(0, batch, known)
+    assert {(r.seq, r.reject_reason) for r in turned.collect()} == {(1, al.MISSING_TRIGGER), (5, al.MISSING_TRIGGER)}
+    turned = table.apply(1, untimed(event(7, "a", minutes=9, count=4)), known)
+    assert turned.count() == 0
+    assert [(r.id, r.triggered_at, r.repeat_count) for r in table.read().collect()] == [("a", clock(0), 4)]
+
+
+def test_unsound_commands(spark):
+    asked = commands(spark, ("a", ACK, 1), ("a", "SNOOZE", 2), ("a", RES, 3)).withColumn(
+        "at", F.when(F.col("action") != ACK, F.col("at")))
+    after, verdicts = al.apply_commands(alerts(spark, alert("a")), asked)
+    assert [(r.status, r.acknowledged_at) for r in after.collect()] == [("RESOLVED", None)]
+    assert [r.reject_reason for r in verdicts.orderBy("seq").collect()] == [al.MISSING_TIME, al.UNKNOWN_ACTION, None]
 
 
 def test_failed_attempt_is_repeated_whole(spark, tmp_path):

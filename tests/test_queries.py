@@ -6,12 +6,14 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tidewatch.config import RuleConfig
 from tidewatch.operators.rising import rising_windows
 from tidewatch.operators.spike import spike_baseline
 from tidewatch.operators.suppression import suppress
 from tidewatch.operators.rules import threshold_candidates
+from tidewatch.plans.catalog import QUERIES
+from tidewatch.plans.oracle import ORACLE
 from tidewatch.sources.events import measurements, scrambled
 
 SF = "/root/testdata/sf0.001"
@@ -32,26 +34,26 @@ def in_name_order(columns, rows):
 
 
 def wanted(duck, name):
-    result = duck.execute(oracle_sql()[name])
+    result = duck.execute(ORACLE[name])
     columns = [c[0] for c in result.description]
     return sorted(columns), in_name_order(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns, rows = wanted(duck, name)
     assert sorted(df.columns) == columns
     assert in_name_order(df.columns, [tuple(r) for r in df.collect()]) == rows
 
 
 def test_every_counterpart_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"candidate_texts"}
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == {"candidate_texts"}
 
 
 def test_texts_of_every_rule(spark):
-    rows = queries()["candidate_texts"](spark, SF).collect()
+    rows = QUERIES["candidate_texts"](spark, SF).collect()
     assert all(r.reason and r.evidence.startswith('{"stationId":') for r in rows)
     # these few readings are too sparse for a warm baseline
     assert len({r.rule_code for r in rows}) == 5
@@ -72,5 +74,5 @@ def test_small_chunks_give_the_same_results(spark, duck, chunk):
     assert in_name_order(got.columns, [tuple(r) for r in got.collect()]) == rows
     events = suppress(threshold_candidates(readings, config), config, chunk).select("id", "seq", "repeat_count")
     counts = {(r[0], r[1], r[2]) for r in events.collect()}
-    sql = oracle_sql()["suppressed_disordered"]
+    sql = ORACLE["suppressed_disordered"]
     assert counts == set(duck.execute(f"SELECT id, seq, repeat_count FROM ({sql})").fetchall())

@@ -5,6 +5,7 @@ import os
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, readings, reading
@@ -14,7 +15,7 @@ from tidewatch.operators.rising import rising_candidates, rising_windows
 from tidewatch.operators.spike import spike_baseline, spike_candidates, spikes
 from tidewatch.operators.suppression import suppress
 from tidewatch.schemas import STATION
-from tidewatch.sources.topics import read_folder, write_folder
+from tidewatch.sources.topics import from_kafka, in_arrival_order, read_folder, write_folder
 from tidewatch.streaming import jobs
 from tidewatch.streaming.alert_table import AlertTable
 
@@ -201,6 +202,60 @@ def test_ingest_stream_routes_every_record(spark, tmp_path, config):
     assert {r.key for r in published.collect()} == {"s1"} and published.count() == 3
     assert json.loads(published.filter("seq = 1").first().value)["eventId"] == "e1"
 
+    # a run under a new checkpoint keeps what the first one stored
+    more = str(tmp_path / "more")
+    drop_file(more, 0, [message(20, 70, 1.0, 1.0)])
+    labelled = jobs.labelled_submissions(read_folder(spark, more, 1), stations, check_uuid=False)
+    seen = []
+    sink = jobs.ingest_sink(base, config, lambda df, b: write_folder(df, measurements, b), lambda df: seen.append(df.count()))
+    finish(jobs.start("ingest_again", labelled, sink, str(tmp_path / "cp2"), NOW))
+    stored = spark.read.parquet(f"{base}/measurements")
+    assert {r.event_id for r in stored.collect()} == {"e1", "e9", "e10", "e20"} and sum(seen) == 1
+    assert {r.seq for r in spark.read.json(f"{measurements}/*").collect()} == {1, 9, 10, 20}
+    assert os.listdir(f"{base}/measurements")[0].startswith("observed_date=") or "_SUCCESS" in os.listdir(f"{base}/measurements")
+
+
+def test_records_keep_their_arrival_order(spark):
+    rows = [("k%d" % (i % 3) if i % 7 else None, f"v{i}", i * 3) for i in range(200)]
+    frame = in_arrival_order(spark.createDataFrame(rows, "key string, value string, seq long").repartition(9))
+    parts = frame.select("key", F.spark_partition_id().alias("part"), F.expr("cast(headers[0].value as string)").alias("seq")).collect()
+    by_key = {}
+    for r in parts:
+        by_key.setdefault(r.key, []).append(r)
+    assert all([int(r.seq) for r in by_key[k]] == sorted(int(r.seq) for r in by_key[k]) for k in ("k0", "k1", "k2"))
+    assert all(len({r.part for r in by_key[k]}) == 1 for k in ("k0", "k1", "k2"))
+
+
+def test_arrival_numbers_of_many_partitions(spark):
+    kafka = spark.range(3000).selectExpr(
+        "cast(null as binary) AS key", "cast('v' as binary) AS value", "cast(id % 1500 as int) AS partition",
+        "id div 1500 AS offset", "timestamp'2026-01-01' AS timestamp",
+        "if(id = 7, array(named_struct('key', 'seq', 'value', cast('12345678' as binary))), null) AS headers")
+    numbers = [r.seq for r in from_kafka(kafka, 1500).collect()]
+    assert len(set(numbers)) == 3000 and 12345678 in numbers
+    with pytest.raises(Exception, match="more partitions than stated"):
+        from_kafka(kafka, 1024).collect()
+
+
+def test_event_stream_reads_both_layouts(spark, tmp_path):
+    from tidewatch.sources.events import event_stream, measurements
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    one, many = tmp_path / "one", tmp_path / "many"
+    events.repartition(4).write.parquet(str(many / "events.parquet"))
+    events.coalesce(1).write.parquet(str(tmp_path / "written"))
+    os.makedirs(one)
+    for name in os.listdir(tmp_path / "written"):
+        if name.endswith(".parquet"):
+            os.link(tmp_path / "written" / name, one / "events.parquet")
+            os.link(tmp_path / "written" / name, one / "events_old.parquet")
+    for k, folder in enumerate((one, many)):
+        counts = []
+        query = (event_stream(spark, str(folder)).writeStream.option("checkpointLocation", str(tmp_path / f"cp{k}"))
+                 .trigger(availableNow=True).foreachBatch(lambda df, _: counts.append(df.count())).start())
+        finish(query)
+        assert sum(counts) == events.count() == measurements(spark, str(folder)).count()
+
 
 def test_alert_records_reach_the_table(spark, tmp_path, config):
     topic, base = str(tmp_path / "in"), str(tmp_path / "store")
@@ -228,7 +283,7 @@ def test_alert_records_reach_the_table(spark, tmp_path, config):
 
     run()
     assert {(r.id, r.status, r.severity) for r in table.read().collect()} == {("a", "ACTIVE", "HIGH"), ("b", "ACTIVE", "HIGH")}
-    drop_file(commands, 1, [command(1, "a", "ACKNOWLEDGE", 5), command(2, "zz", "RESOLVE", 5)])
+    drop_file(commands, 1, [command(1, "a", "ACKNOWLEDGE", 5), command(2, "zz", "RESOLVE", 5), (3, "[nothing")])
     run()
     drop_file(topic, 2, [event(5, "a", 20, 2)])
     run()
@@ -239,12 +294,21 @@ def test_alert_records_reach_the_table(spark, tmp_path, config):
     rejects = spark.read.parquet(f"{base}/alert_rejects").collect()
     assert [(r.id, r.reject_reason) for r in rejects] == [("c", "unknown station")]
     assert spark.read.parquet(f"{base}/alert_quarantine").count() == 1
+    assert spark.read.parquet(f"{base}/command_quarantine").count() == 1
     audit = {(r.alert_id, r.accepted, r.reject_reason) for r in spark.read.parquet(f"{base}/command_audit").collect()}
     assert audit == {("a", True, None), ("zz", False, "Alert not found")}
     # a batch that runs again changes nothing
     before = table.manifest()
-    table.apply(0, spark.createDataFrame([], rejects_schema()), stations_of(spark, "s1"))
+    (name,) = before["committed"]
+    table.apply(0, spark.createDataFrame([], rejects_schema()), stations_of(spark, "s1"), run=name)
     assert table.manifest() == before
+    # a run under a new checkpoint starts over: it repeats old records without harm and adds new ones
+    drop_file(topic, 3, [event(6, "d", 30, 1)])
+    stream = jobs.persistence_stream(read_folder(spark, topic, 1), read_folder(spark, commands, 1))
+    finish(jobs.start("persist_again", stream, sink, str(tmp_path / "cp2"), NOW))
+    assert len(table.manifest()["committed"]) == 2
+    assert {(r.id, r.status, r.repeat_count) for r in table.read().collect()} == {
+        ("a", "ACKNOWLEDGED", 2), ("b", "ACTIVE", 1), ("d", "ACTIVE", 1)}
 
 
 def rejects_schema():

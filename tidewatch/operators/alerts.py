@@ -15,6 +15,8 @@ UNKNOWN_STATION = "unknown station"
 NOT_FOUND = "Alert not found"
 NOT_ACTIVE = "Only active alerts can be acknowledged"
 ALREADY_RESOLVED = "Alert is already resolved"
+UNKNOWN_ACTION = "Unknown action"
+MISSING_TIME = "missing command time"
 
 ACKNOWLEDGE, RESOLVE = "ACKNOWLEDGE", "RESOLVE"
 
@@ -23,22 +25,33 @@ REFRESHED = [
 ]
 
 
-def screen_events(events: DataFrame, stations: DataFrame) -> DataFrame:
+def screen_events(events: DataFrame, stations: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Add ``reject_reason``: null for events that may be persisted.
 
-    A missing id or station and an unregistered station are turned away; no station is invented.
+    A missing id or station and an unregistered station are turned away; no station is invented. The
+    trigger time may be missing only from repeats: of ids in ``stored``, or after an event of these that has it.
     """
     ids = stations.select(F.col("id").alias("station_id"), F.lit(True).alias("_known")).distinct()
     reason = (
         F.when(F.col("id").isNull() | F.col("station_id").isNull(), F.lit(MISSING_ID))
         .when(F.col("_known").isNull(), F.lit(UNKNOWN_STATION))
-        .when(F.col("triggered_at").isNull(), F.lit(MISSING_TRIGGER))
     )
-    return (
+    screened = (
         events.join(ids, "station_id", "left")
         .withColumn("reject_reason", reason)
         .select(*events.columns, "reject_reason")
     )
+    if stored is None:
+        untimed = F.col("reject_reason").isNull() & F.col("triggered_at").isNull()
+        return screened.withColumn(
+            "reject_reason", F.when(untimed, F.lit(MISSING_TRIGGER)).otherwise(F.col("reject_reason")))
+    timed = screened.where("triggered_at IS NOT NULL AND reject_reason IS NULL")
+    since = timed.groupBy("id").agg(F.min("seq").alias("_since")).union(
+        stored.select("id", F.lit(-(1 << 63)).alias("_since"))).groupBy("id").agg(F.min("_since").alias("_since"))
+    untimed = screened.where("triggered_at IS NULL").join(since, "id", "left").withColumn(
+        "reject_reason",
+        F.coalesce("reject_reason", F.when(F.col("_since").isNull() | (F.col("_since") > F.col("seq")), F.lit(MISSING_TRIGGER))))
+    return screened.where("triggered_at IS NOT NULL").unionByName(untimed.select(*screened.columns))
 
 
 def persistable(screened: DataFrame) -> DataFrame:
@@ -65,7 +78,9 @@ def collapse_events(events: DataFrame) -> DataFrame:
         events.groupBy("id")
         .agg(
             F.max_by(fields, "seq").alias("_last"),
-            F.min_by(F.struct("station_id", "triggered_at"), "seq").alias("_first"),
+            F.min_by(
+                F.struct("station_id", "triggered_at"), F.when(F.col("triggered_at").isNotNull(), F.col("seq"))
+            ).alias("_first"),
         )
         .select("id", "_first.station_id", "_first.triggered_at", *[f"_last.{c}" for c in REFRESHED])
     )
@@ -113,6 +128,8 @@ def _inserted(column: str) -> Column:
 def apply_commands(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply operator commands in ``(at, seq)`` order: (new alert table, per-command audit).
 
+    A command without a time or with an action other than the two is turned away with its own reason.
+
     The guards have a closed form per alert: the first resolve is the only accepted one, and the
     first acknowledge is accepted when it precedes that resolve. Stored RESOLVED accepts nothing,
     stored ACKNOWLEDGED no further acknowledge. Two partial aggregations, no per-row loop.
@@ -120,7 +137,8 @@ def apply_commands(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, D
     order = F.struct("at", "seq")
     ack = F.min(F.when(F.col("action") == ACKNOWLEDGE, order))
     resolve = F.min(F.when(F.col("action") == RESOLVE, order))
-    asked = commands.groupBy(F.col("alert_id").alias("id")).agg(ack.alias("_ack"), resolve.alias("_resolve"))
+    sound = F.col("at").isNotNull() & F.coalesce(F.col("action").isin(ACKNOWLEDGE, RESOLVE), F.lit(False))
+    asked = commands.where(sound).groupBy(F.col("alert_id").alias("id")).agg(ack.alias("_ack"), resolve.alias("_resolve"))
     joined = alerts.join(asked, "id", "left")
     resolving = (F.col("status") != RESOLVED) & F.col("_resolve").isNotNull()
     acking = (
@@ -148,9 +166,14 @@ def apply_commands(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, D
     )
     known = alerts.select(F.col("id").alias("alert_id"), F.lit(True).alias("_known"))
     audited = commands.join(accepted, ["alert_id", "seq"], "left").join(known, "alert_id", "left")
-    why = F.when(F.col("accepted").isNull(), F.when(F.col("_known").isNull(), F.lit(NOT_FOUND)).otherwise(
-        F.when(F.col("action") == ACKNOWLEDGE, F.lit(NOT_ACTIVE)).otherwise(F.lit(ALREADY_RESOLVED))
-    ))
+    why = F.when(
+        F.col("accepted").isNull(),
+        F.when(~F.coalesce(F.col("action").isin(ACKNOWLEDGE, RESOLVE), F.lit(False)), F.lit(UNKNOWN_ACTION))
+        .when(F.col("at").isNull(), F.lit(MISSING_TIME))
+        .when(F.col("_known").isNull(), F.lit(NOT_FOUND))
+        .when(F.col("action") == ACKNOWLEDGE, F.lit(NOT_ACTIVE))
+        .otherwise(F.lit(ALREADY_RESOLVED)),
+    )
     audit = audited.select(
         *commands.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"), why.alias("reject_reason")
     )

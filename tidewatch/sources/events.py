@@ -27,9 +27,14 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same readings as a stream of the table's files."""
-    files = spark.readStream.schema(COLUMNS["events"]).option("pathGlobFilter", "events*.parquet")
-    return _as_measurements(files.parquet(sf_dir))
+    """The same readings as a stream of the table's files, be it one file or a folder of parts."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    store = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = spark.readStream.schema(COLUMNS["events"])
+    if store.getFileStatus(table).isDirectory():
+        return _as_measurements(files.parquet(f"{sf_dir}/events.parquet"))
+    # the stream reader takes folders only
+    return _as_measurements(files.option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
 def _as_measurements(events: DataFrame) -> DataFrame:

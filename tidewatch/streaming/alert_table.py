@@ -1,10 +1,10 @@
 """The alert table as a foreachBatch sink.
 
-Rows live under ``data/version=<v>/triggered_date=<day>/``; a manifest names the version that
-holds each day. A batch rewrites only the days its alerts were triggered on and then replaces the
-manifest in one rename, so readers see whole batches and a repeated batch changes nothing. Every
-event of an alert carries the alert's trigger time (suppression guarantees it), so the day is known
-without a search. Where a table format with MERGE is at hand, use that and ``operators.alerts``.
+Rows live under ``data/version=<v>/bucket=<b>/``, placed by a hash of their id, the one field that never
+changes; a manifest names the version that holds each bucket. A batch rewrites only the buckets of its events'
+and commands' ids and then replaces the manifest in one rename, so readers see whole batches and a repeated
+batch changes nothing. Batches are told apart by the run's name and their number: a new checkpoint is a new
+run. Where a table format with MERGE is at hand, use that and ``operators.alerts``.
 """
 
 from __future__ import annotations
@@ -13,18 +13,20 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.alerts import apply_commands, persistable, rejected, screen_events, upsert
 from tidewatch.schemas import ALERT
 
-DAY = "triggered_date"
+BUCKET = "bucket"
 
 
 class AlertTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """``buckets`` counts for a new table; an existing one keeps its own."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -33,10 +35,10 @@ class AlertTable:
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict:
-        """``committed``: last applied batch; ``days``: day -> version. A line per day, kept small."""
+        """``committed``: last applied batch of every run; ``buckets``: bucket -> version; ``count``."""
         fs, file = self._fs(), self._path("manifest.json")
         if not fs.exists(file):
-            return {"committed": -1, "days": {}}
+            return {"committed": {}, "buckets": {}, "count": self._buckets}
         stream = fs.open(file)
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -60,13 +62,13 @@ class AlertTable:
         options[0] = rename.OVERWRITE
         context.rename(staged, file, options)
 
-    def read(self, days: list[str] | None = None) -> DataFrame:
-        """Current rows, of the given trigger days or of all."""
-        versions = self.manifest()["days"]
-        chosen = versions if days is None else {d: versions[d] for d in days if d in versions}
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """Current rows, of the given buckets or of all."""
+        versions = {int(b): v for b, v in self.manifest()["buckets"].items()}
+        chosen = versions if buckets is None else {b: versions[b] for b in buckets if b in versions}
         if not chosen:
             return self.spark.createDataFrame([], ALERT)
-        paths = [f"{self.path}/data/version={v}/{DAY}={d}" for d, v in sorted(chosen.items())]
+        paths = [f"{self.path}/data/version={v}/{BUCKET}={b}" for b, v in sorted(chosen.items())]
         return self.spark.read.schema(ALERT).parquet(*paths)
 
     def apply(
@@ -76,44 +78,40 @@ class AlertTable:
         stations: DataFrame,
         commands: DataFrame | None = None,
         audit: Callable[[DataFrame], None] | None = None,
+        run: str = "",
     ) -> DataFrame:
         """Persist a batch's events, then its commands, in one commit. Returns the rejected events.
 
         ``audit`` receives the verdict on every command before the commit. Written versions are never
         changed: each attempt writes a new one, and what a failed attempt left is not referenced.
         """
-        screened = screen_events(events, stations)
         manifest = self.manifest()
-        if batch_id <= manifest["committed"]:
-            return rejected(screened)
-        good = persistable(screened)
-        days = set(_days(good))
-        # finding the days of commanded alerts reads every alert's id, so only when there are commands
-        if commands is not None and commands.isEmpty():
-            commands = None
+        ids = events.select("id")
         if commands is not None:
-            wanted = commands.select(F.col("alert_id").alias("id")).distinct()
-            days |= set(_days(self.read().select("id", "triggered_at").join(wanted, "id", "left_semi")))
-        after = upsert(self.read(sorted(days)), good)
+            ids = ids.union(commands.select(F.col("alert_id").alias("id")))
+        # at most as many short numbers as there are buckets reach the driver
+        found = ids.where("id IS NOT NULL").select(bucket_of("id", manifest["count"])).distinct().collect()
+        touched = sorted(r[0] for r in found)
+        stored = self.read(touched)
+        screened = screen_events(events, stations, stored)
+        if batch_id <= manifest["committed"].get(run, -1):
+            return rejected(screened)
+        after = upsert(stored, persistable(screened))
         if commands is not None:
             after, verdicts = apply_commands(after, commands)
             if audit is not None:
                 audit(verdicts)
-        if days:
+        if touched:
             version = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"
-            # rows of one day are spread by id, so that a busy day is not one task
-            after.withColumn(DAY, F.to_date("triggered_at").cast("string")).repartition(
-                DAY, F.pmod(F.xxhash64("id"), F.lit(16))
-            ).write.partitionBy(DAY).parquet(f"{self.path}/data/version={version}")
-            manifest["days"].update(dict.fromkeys(days, version))
-        manifest["committed"] = batch_id
+            after.withColumn(BUCKET, bucket_of("id", manifest["count"])).repartition(BUCKET).write.partitionBy(
+                BUCKET).parquet(f"{self.path}/data/version={version}")
+            written = self._fs().listStatus(self._path(f"data/version={version}"))
+            names = [w.getPath().getName() for w in written]
+            manifest["buckets"].update({n.partition("=")[2]: version for n in names if n.startswith(f"{BUCKET}=")})
+        manifest["committed"][run] = batch_id
         self._publish(manifest)
         return rejected(screened)
 
 
-def _days(rows: DataFrame) -> list[str]:
-    """Distinct trigger days: at most one short string per calendar day reaches the driver."""
-    found = rows.select(F.to_date("triggered_at").cast("string").alias("d")).distinct().collect()
-    return sorted(r.d for r in found)
-
-
+def bucket_of(column: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(count)).cast("int").alias(BUCKET)

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,8 +31,9 @@ from tidewatch.operators.spike import spike_texts
 from tidewatch.operators.stale import stale_texts
 from tidewatch.operators.suppression import as_alert_events
 from tidewatch.schemas import ALERT_FIELDS, COMMAND, MEASUREMENT_FIELDS, SENSOR_SPIKE
-from tidewatch.session import ROCKSDB
+from tidewatch.session import ROCKSDB, held
 from tidewatch.sources.decode import decode_alert_events, decode_measurements, malformed, valid
+from tidewatch.sources.topics import batch_name
 from tidewatch.sources.wire import encode_alert_events, encode_measurements
 from tidewatch.streaming.alert_table import AlertTable
 from tidewatch.streaming.processors import (
@@ -120,28 +120,37 @@ def ingest_sink(
     base: str,
     config: RuleConfig,
     publish: Callable[[DataFrame, int], None],
+    last_seen: Callable[[DataFrame], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Write one labelled batch: quarantine, audit, measurement table, late rows, topic.
 
-    All outputs go to folders named by the batch, so a repeated batch replaces its own rows.
+    All outputs go to folders named by run and batch, so a repeated batch replaces its own rows and a run
+    under a new checkpoint adds to what earlier runs left. The measurement table lies by date first, its
+    rows in order of station. ``last_seen`` receives the accepted readings, for ``touch_last_seen``.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        name = batch_name(batch.sparkSession, batch_id)
         # several writes from one stateful result
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            part = f"batch={batch_id:012d}"
-            bad = batch.filter(F.col("outcome") == MALFORMED).drop("outcome", "message")
+        with held(batch, "ingest-batch") as rows:
+            part = f"batch={name}"
+            bad = rows.filter(F.col("outcome") == MALFORMED).drop("outcome", "message")
             malformed(bad).write.mode("overwrite").parquet(f"{base}/quarantine/{part}")
-            batch.select("seq", "event_id", "station_id", "outcome", "message").write.mode(
+            rows.select("seq", "event_id", "station_id", "outcome", "message").write.mode(
                 "overwrite"
             ).parquet(f"{base}/audit/{part}")
-            accepted = batch.filter(F.col("outcome") == ingest.ACCEPTED)
-            accepted.select(*STORED, F.to_date("observed_at").alias("observed_date")).write.mode("overwrite").partitionBy("observed_date").parquet(f"{base}/measurements/{part}")
+            accepted = rows.filter(F.col("outcome") == ingest.ACCEPTED)
+            (
+                accepted.select(*STORED, F.to_date("observed_at").alias("observed_date"), F.lit(name).alias("batch"))
+                .repartitionByRange("observed_date", "station_id", "seq")
+                .sortWithinPartitions("observed_date", "station_id", "observed_at")
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("observed_date", "batch").parquet(f"{base}/measurements")
+            )
             _route_late(batch.sparkSession, accepted, base, batch_id, config)
+            if last_seen is not None:
+                last_seen(accepted)
             publish(encode_measurements(accepted, keep=["seq", "received_at"]), batch_id)
-        finally:
-            batch.unpersist()
 
     return sink
 
@@ -149,23 +158,24 @@ def ingest_sink(
 def _route_late(
     spark: SparkSession, accepted: DataFrame, base: str, batch_id: int, config: RuleConfig
 ) -> None:
-    """Side output of readings behind every open window, judged against the batches before.
+    """Side output of readings behind every open window, judged against the run's batches before.
 
     The ledger holds one number per batch: the highest event time up to and including it.
     """
     previous = _ledger(spark, base, batch_id - 1)
+    name = batch_name(spark, batch_id)
     late = accepted.filter(flag_late(F.lit(previous).cast("long"), config))
-    late.select(*STORED).write.mode("overwrite").parquet(f"{base}/late/batch={batch_id:012d}")
+    late.select(*STORED).write.mode("overwrite").parquet(f"{base}/late/batch={name}")
     highest = accepted.agg(F.max(epoch_ms("observed_at")).alias("max_ms")).select(
         F.greatest("max_ms", F.lit(previous).cast("long")).alias("max_ms")
     )
-    highest.coalesce(1).write.mode("overwrite").parquet(f"{base}/ledger/batch={batch_id:012d}")
+    highest.coalesce(1).write.mode("overwrite").parquet(f"{base}/ledger/batch={name}")
 
 
 def _ledger(spark: SparkSession, base: str, batch_id: int) -> int | None:
     if batch_id < 0:
         return None
-    rows = spark.read.schema("max_ms long").parquet(f"{base}/ledger/batch={batch_id:012d}").head(1)
+    rows = spark.read.schema("max_ms long").parquet(f"{base}/ledger/batch={batch_name(spark, batch_id)}").head(1)
     return rows[0].max_ms if rows else None
 
 
@@ -262,22 +272,26 @@ def persistence_sink(
     """Apply a batch's events, then its commands; whatever is turned away goes to audit folders."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            part = f"batch={batch_id:012d}"
-            decoded = decode_alert_events(batch.filter(F.col("kind") == "event"), check_uuid=check_uuid)
-            events = decoded.filter(F.col("error").isNull()).select(*ALERT_FIELDS, "seq")
-            undecodable = decoded.filter(F.col("error").isNotNull()).select("seq", "error", "value")
+        name = batch_name(batch.sparkSession, batch_id)
+        part = f"batch={name}"
+        # records are decoded once, for all outputs
+        decoded = decode_alert_events(batch.filter(F.col("kind") == "event"), check_uuid=check_uuid)
+        raw = batch.filter(F.col("kind") == "command")
+        document = F.try_parse_json("value")
+        is_object = F.coalesce(F.call_function("schema_of_variant", document).startswith("OBJECT"), F.lit(False))
+        commands = raw.select(
+            F.from_json("value", COMMAND.replace(", seq long", "")).alias("c"), "seq", "value", is_object.alias("sound"))
+        with held(decoded, "alert-batch") as alerts, held(commands, "command-batch") as asked:
+            events = alerts.filter(F.col("error").isNull()).select(*ALERT_FIELDS, "seq")
+            undecodable = alerts.filter(F.col("error").isNotNull()).select("seq", "error", "value")
             undecodable.write.mode("overwrite").parquet(f"{base}/alert_quarantine/{part}")
-            commands = batch.filter(F.col("kind") == "command").select(
-                F.from_json("value", COMMAND.replace(", seq long", "")).alias("c"), "seq"
-            ).select("c.*", "seq")
+            asked.filter(~F.col("sound")).select("seq", "value").write.mode("overwrite").parquet(
+                f"{base}/command_quarantine/{part}")
             turned_away = table.apply(
-                batch_id, events, stations(), commands,
+                batch_id, events, stations(), asked.filter("sound").select("c.*", "seq"),
                 lambda verdicts: verdicts.write.mode("overwrite").parquet(f"{base}/command_audit/{part}"),
+                run=name.rpartition("-")[0],
             )
             turned_away.write.mode("overwrite").parquet(f"{base}/alert_rejects/{part}")
-        finally:
-            batch.unpersist()
 
     return sink
