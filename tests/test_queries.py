@@ -76,3 +76,8 @@ def test_small_chunks_give_the_same_results(spark, duck, chunk):
     counts = {(r[0], r[1], r[2]) for r in events.collect()}
     sql = ORACLE["suppressed_disordered"]
     assert counts == set(duck.execute(f"SELECT id, seq, repeat_count FROM ({sql})").fetchall())
+
+
+def test_rise_windows_aggregate_without_sorting(spark):
+    plan = rising_windows(measurements(spark, SF), RuleConfig())._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,10 @@ def _split_by_clock(
         readings.withColumn("ms", epoch_ms("observed_at")), F.col("ms"), "prev_max_ms", punctual, chunk_rows
     )
 
+#: more than there are arrival numbers, negative ones included
+ARRIVALS = Decimal(2 * 10**19)
+KEY = "decimal(38,0)"
+
 
 def late_readings(readings: DataFrame, config: RuleConfig, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Readings none of whose windows was still open on arrival (record-granular replay)."""
@@ -64,11 +69,25 @@ def flag_late(previous_max_ms: Column, config: RuleConfig) -> Column:
 
 
 def boundary_readings(ms: Column) -> list[Column]:
-    """Aggregates for the earliest and the latest reading; the first arrival wins a tie."""
-    seq, level = F.col("seq"), F.col("water_level_m").alias("level")
+    """Aggregates for the earliest and the latest reading; the first arrival wins a tie.
+
+    Time and arrival make one number of fixed width, so that the aggregates are updated in place and no
+    partition has to be sorted beforehand.
+    """
+    time = ms.cast("decimal(18,0)") * F.lit(ARRIVALS)
+    seq = F.col("seq").cast("decimal(19,0)")
+    return _boundaries(
+        (time + seq).cast(KEY), (time - seq).cast(KEY), ms, ms, F.col("water_level_m"), F.col("water_level_m"))
+
+
+def _boundaries(
+    early: Column, late: Column, early_ms: Column, late_ms: Column, early_level: Column, late_level: Column
+) -> list[Column]:
     return [
-        F.min(F.struct(ms.alias("ms"), seq.alias("seq"), level)).alias("earliest"),
-        F.max(F.struct(ms.alias("ms"), (-seq).alias("seq"), level)).alias("latest"),
+        F.min(early).alias("earliest_key"), F.min(early_ms).alias("earliest_ms"),
+        F.min_by(early_level, early).alias("earliest_level_m"),
+        F.max(late).alias("latest_key"), F.max(late_ms).alias("latest_ms"),
+        F.max_by(late_level, late).alias("latest_level_m"),
     ]
 
 
@@ -112,22 +131,23 @@ def rising_windows(
     windows = (
         panes.withColumn("start", F.explode(F.sequence("open_from", last, F.lit(slide).cast("long"))))
         .groupBy("station_id", "start")
-        .agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
+        .agg(*_boundaries(*map(F.col, (
+            "earliest_key", "latest_key", "earliest_ms", "latest_ms", "earliest_level_m", "latest_level_m"))))
     )
     return two_point_windows(windows, F.col("start"), F.col("start") + size)
 
 
 def two_point_windows(windows: DataFrame, start: Column, end: Column) -> DataFrame:
     """Windows with readings at two different times, flattened, with the rise between them."""
-    return windows.filter(F.col("earliest.ms") < F.col("latest.ms")).select(
+    return windows.filter(F.col("earliest_ms") < F.col("latest_ms")).select(
         "station_id",
         start.alias("window_start_ms"),
         end.alias("window_end_ms"),
-        F.col("earliest.ms").alias("earliest_ms"),
-        F.col("earliest.level").alias("earliest_level_m"),
-        F.col("latest.ms").alias("latest_ms"),
-        F.col("latest.level").alias("latest_level_m"),
-        (F.col("latest.level") - F.col("earliest.level")).alias("rise_m"),
+        "earliest_ms",
+        "earliest_level_m",
+        "latest_ms",
+        "latest_level_m",
+        (F.col("latest_level_m") - F.col("earliest_level_m")).alias("rise_m"),
     )
 
 
