@@ -30,6 +30,14 @@ from tidewatch.sources.wire import encode_alert_events, encode_measurements, to_
 from tidewatch.streaming import jobs
 
 CONFIG = RuleConfig()
+# fields of the evidence objects of all rules
+EVIDENCE = (
+    "stationId string, eventTimestamp string, lastObservedAt string, waterLevelM double, rainfallMmPerHour double,"
+    " thresholdM double, thresholdMmPerHour double, levelThresholdM double, rainThresholdMmPerHour double,"
+    " windowStart string, windowEnd string, earliestObservedAt string, latestObservedAt string,"
+    " earliestWaterLevelM double, latestWaterLevelM double, riseM double, deltaM double, baselineMedianM double,"
+    " baselineSampleCount int, staleTimeoutMinutes int"
+)
 STATION = "3"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -290,8 +298,20 @@ def q_all_candidates(spark, sf):
 
 @query("candidate_texts")
 def q_candidate_texts(spark, sf):
-    return all_candidates(measurements(spark, sf), CONFIG, clock_end(spark, sf)).select(
-        "station_id", "rule_code", "seq", "reason", "evidence"
+    texts = all_candidates(measurements(spark, sf), CONFIG, clock_end(spark, sf))
+    return texts.select(
+        "station_id", "rule_code", "seq", "reason", F.from_json("evidence", EVIDENCE).alias("e")
+    ).select(
+        "station_id", "rule_code", "seq", "reason", F.col("e.stationId").alias("evidence_station"),
+        F.coalesce("e.eventTimestamp", "e.lastObservedAt").alias("at"),
+        F.col("e.waterLevelM").alias("water_level"), F.col("e.rainfallMmPerHour").alias("rainfall"),
+        F.coalesce("e.thresholdM", "e.thresholdMmPerHour", "e.levelThresholdM").alias("threshold"),
+        F.col("e.rainThresholdMmPerHour").alias("rain_threshold"),
+        F.col("e.windowStart").alias("window_start"), F.col("e.windowEnd").alias("window_end"),
+        F.col("e.earliestObservedAt").alias("earliest_at"), F.col("e.latestObservedAt").alias("latest_at"),
+        F.col("e.earliestWaterLevelM").alias("earliest_level"), F.col("e.latestWaterLevelM").alias("latest_level"),
+        F.coalesce("e.riseM", "e.deltaM").alias("change"), F.col("e.baselineMedianM").alias("median"),
+        F.coalesce("e.baselineSampleCount", "e.staleTimeoutMinutes").alias("number"),
     )
 
 

@@ -98,6 +98,54 @@ CANDIDATES = ",\n".join([
 ])
 
 
+def fixed(value: str) -> str:
+    """Two decimals, halves away from zero, of the number as it is written."""
+    return f"CAST(CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DECIMAL(30, 2)) AS VARCHAR)"
+
+
+def iso(ms: str) -> str:
+    return (f"strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ({ms}) % 1000 = 0 THEN 'Z' "
+            f"ELSE '.' || lpad(CAST(({ms}) % 1000 AS VARCHAR), 3, '0') || 'Z' END")
+
+
+def texts(rule: str, source: str, seq: str, reason: str, **fields: str) -> str:
+    """Reason and evidence fields of a rule, in one column order for all rules."""
+    kinds = {
+        "at": "VARCHAR", "water_level": "DOUBLE", "rainfall": "DOUBLE", "threshold": "DOUBLE",
+        "rain_threshold": "DOUBLE", "window_start": "VARCHAR", "window_end": "VARCHAR", "earliest_at": "VARCHAR",
+        "latest_at": "VARCHAR", "earliest_level": "DOUBLE", "latest_level": "DOUBLE", "change": "DOUBLE",
+        "median": "DOUBLE", "number": "INTEGER",
+    }
+    columns = ", ".join(f"CAST({fields.get(n, 'NULL')} AS {kind}) AS {n}" for n, kind in kinds.items())
+    return (f"SELECT station_id, '{rule}' AS rule_code, {seq} AS seq, {reason} AS reason, "
+            f"station_id AS evidence_station, {columns} FROM {source}")
+
+
+TEXTS = "\nUNION ALL ".join([
+    texts("LEVEL_HIGH", "m WHERE level >= 4.0", "seq", f"'Water level ' || {fixed('level')} || 'm >= 4.00m threshold'",
+          at=iso("ms"), water_level="level", threshold="4.0"),
+    texts("RAIN_INTENSE", "m WHERE rain >= 20.0", "seq", f"'Rainfall ' || {fixed('rain')} || 'mm/h >= 20.00mm/h threshold'",
+          at=iso("ms"), rainfall="rain", threshold="20.0"),
+    texts("LEVEL_AND_RAIN", "m WHERE level >= 3.0 AND rain >= 15.0", "seq",
+          f"'Water level ' || {fixed('level')} || 'm >= 3.00m and rainfall ' || {fixed('rain')} || 'mm/h >= 15.00mm/h'",
+          at=iso("ms"), water_level="level", rainfall="rain", threshold="3.0", rain_threshold="15.0"),
+    texts("LEVEL_RISING_FAST", "rising WHERE rise_m >= 0.5", "window_end_ms",
+          f"'Water level rose ' || {fixed('rise_m')} || 'm within window ' || {iso('window_start_ms')} || ' to ' || "
+          f"{iso('window_end_ms')} || ' (>= 0.50m threshold)'",
+          at=iso("latest_ms"), threshold="0.5", window_start=iso("window_start_ms"), window_end=iso("window_end_ms"),
+          earliest_at=iso("earliest_ms"), latest_at=iso("latest_ms"), earliest_level="earliest_level_m",
+          latest_level="latest_level_m", change="rise_m"),
+    texts("SENSOR_SPIKE", "spike", "seq",
+          f"'Water level ' || {fixed('level_m')} || 'm differs from 1h baseline median ' || {fixed('baseline_median_m')} || "
+          f"'m by ' || {fixed('abs(delta_m)')} || 'm (>= 1.00m threshold)'",
+          at=iso("event_ms"), water_level="level_m", threshold="1.0", median="baseline_median_m", change="delta_m",
+          number="baseline_count"),
+    texts("STATION_STALE", "stale", "fire_ms",
+          f"'No accepted reading for station in over 30 minutes (last observed: ' || {iso('last_observed_ms')} || ')'",
+          at=iso("last_observed_ms"), number="30"),
+])
+
+
 def suppressed(source: str) -> str:
     return f"""gaps AS (
   SELECT *, event_ms - lag(event_ms) OVER (PARTITION BY station_id, rule_code ORDER BY seq) AS gap FROM {source}),
@@ -274,6 +322,7 @@ WHERE ms - ms % {5 * MINUTE} + {15 * MINUTE} <= pm - {5 * MINUTE}"""),
     "last_observed": select(
         D, "SELECT station_id, arg_max(ms, seq) AS last_observed_ms FROM d GROUP BY station_id"
     ),
+    "candidate_texts": select(CANDIDATES, TEXTS),
     "all_candidates": select(CANDIDATES, f"SELECT {SLIM} FROM cand"),
     "suppressed_alert_events": select(EVENTS, f"SELECT {ALERT}, seq FROM ev"),
     "alert_event_round_trip": select(
