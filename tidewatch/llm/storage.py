@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch import session
@@ -27,3 +29,10 @@ def release(spark: SparkSession) -> None:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(hadoop).delete(path, True)
     _written.clear()
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are written: Spark removes them when the driver
+    collects its garbage, which it may not do for a long time by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
