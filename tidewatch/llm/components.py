@@ -11,26 +11,40 @@ from tidewatch.llm.storage import materialize
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)``: the smallest node it is connected to.
 
-    Labels start at the node itself. A round takes the smallest label among neighbours, hooks that
-    label's former root onto it, and follows one pointer, so the distance covered doubles. Every round
-    is written to the shared folder, which cuts the lineage; a hub's rows meet in partial minima and in
-    joins whose other side has one row per node. Null ends and loops are no edges.
+    A round points every node to its smallest neighbour, follows the pointers to their ends, doubling the
+    distance each time, and contracts the edges to those ends; at least half of the nodes go, and of a dense
+    group one edge or none is left. What each round and doubling yields is written to the shared folder, which
+    cuts the lineage; a hub's rows meet in partial minima and in joins whose other side has one row per
+    node. Null ends and loops are no edges.
     """
-    known = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select("a", "b").distinct()
-    both = materialize(known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    state = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component"))
-    state = materialize(state.select(F.col("a").alias("node"), "component"), "labels")
+    left = materialize(contracted(edges.select("a", "b")), "edges")
+    found = None
+    while found is None or not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        ends = both.groupBy("a").agg(F.min("b").alias("least"))
+        ends = ends.select(F.col("a").alias("node"), F.least("a", "least").alias("component"))
+        ends = roots(materialize(ends, "pointers"))
+        names = [ends.select(F.col("node").alias(c), F.col("component").alias(f"{c}_end")) for c in "ab"]
+        left = left.join(names[0], "a").join(names[1], "b").select(F.col("a_end").alias("a"), F.col("b_end").alias("b"))
+        left = materialize(contracted(left), "edges")
+        if found is not None:
+            further = ends.select(F.col("node").alias("component"), F.col("component").alias("end"))
+            ends = found.join(further, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+        found = materialize(ends, "labels")
+    return found
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    real = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
+    return real.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """Every node's last pointer; none leads upwards."""
     while True:
-        least = (
-            both.join(state, both.b == state.node)
-            .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        )
-        met = state.join(least, "node").select("node", "component", F.least("component", "least").alias("least"))
-        hooked = met.select("node", "least", F.col("component").alias("old")).union(
-            met.where("least < component").select("component", "least", F.lit(None)))
-        hooked = hooked.groupBy("node").agg(F.min("least").alias("parent"), F.max("old").alias("old"))
-        up = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("component"))
-        new = materialize(hooked.join(up, "parent").select("node", "component", "old"), "labels")
-        state = new.select("node", "component")
-        if new.where("component != old").isEmpty():
-            return state
+        up = pointers.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        further = pointers.join(up, "component").select("node", "component", "next")
+        further = materialize(further, "pointers")
+        pointers = further.select("node", F.col("next").alias("component"))
+        if further.where("component != next").isEmpty():
+            return pointers
