@@ -18,31 +18,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from tidewatch.llm.encoding import lowered
+from tidewatch.llm.encoding import blocks, lowered
 from tidewatch.llm.pieces import split
 from tidewatch.llm.storage import materialize
+from tidewatch.llm.token_store import code, decode
 
 ORDER = 2
 ALPHA = 0.4
 BLOCK_CHARS = 8_000_000
-BUCKET_TOKENS = 4_000_000
+BUCKET_CHARS = 20_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 in one to four bytes each; beyond, in eight."""
+    if values.max(initial=0) >= 1 << 32:
+        return b"w" + values.astype("<i8").tobytes()
+    control, data = code(values)
+    return b"n" + np.array([len(values)], "<u4").tobytes() + control + data
+
+
+def unpacked(stored: bytes) -> np.ndarray:
+    if stored[:1] == b"w":
+        return np.frombuffer(stored[1:], "<i8").astype(np.int64)
+    count = int(np.frombuffer(stored[1:5], "<u4")[0])
+    at = 5 + -(-count // 4)
+    return decode(stored[5:at], stored[at:], count).astype(np.int64)
+
+
 def gathered(docs: DataFrame, block_chars: int, id_column: str, text_column: str) -> DataFrame:
-    """Blocks of documents: ``block, n_tokens, ids, texts``."""
+    """Blocks of documents: ``block, n_chars, ids, texts`` (compressed, with their lengths in ``sizes``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, number, shard = [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            tokens = int(split([lowered(t) for t in texts], False).counts.sum())
+            sizes = [len(t) for t in texts]
+            packed = zstandard.compress("".join(texts).encode())
             return pa.RecordBatch.from_pylist(
-                [{"block": (shard << 32) + number, "n_tokens": tokens, "ids": ids, "texts": texts}], schema=arrow)
+                [{"block": (shard << 32) + number, "n_chars": held, "ids": ids, "sizes": sizes, "texts": packed}], schema=arrow)
 
         for batch in batches:
             for shard, i, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -56,23 +75,28 @@ def gathered(docs: DataFrame, block_chars: int, id_column: str, text_column: str
             yield row()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"block long, n_tokens long, ids array<{kind}>, texts array<string>"
+    schema = f"block long, n_chars long, ids array<{kind}>, sizes array<long>, texts binary"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     slim = docs.select(F.spark_partition_id().alias("shard"), F.col(id_column), F.coalesce(F.col(text_column), F.lit("")))
     return slim.mapInArrow(run, schema)
 
 
+def texts_of(sizes: list[int], packed: bytes) -> list[str]:
+    text, ends = zstandard.decompress(packed).decode(), np.cumsum([0, *sizes]).tolist()
+    return [text[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class BlockGrams:
     """N-grams of a block: per order, the place of every token's n-gram among the sorted distinct ones."""
 
     def __init__(self, texts: list[str], order: int):
-        pieces = split([lowered(t) for t in texts], False)
-        self.sizes = pieces.counts
+        parts = [split(run, False) for run in blocks(map(lowered, texts))]
+        self.sizes = np.concatenate([p.counts for p in parts])
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         first = np.cumsum(self.sizes) - self.sizes
         self.inside = np.arange(len(self.doc)) - first[self.doc]
         self.hashes, self.place, self.counts = [], [], []
-        words = gram = pieces.hashes
+        words = gram = np.concatenate([p.hashes for p in parts])
         for k in range(order):
             if k:
                 with np.errstate(over="ignore"):
@@ -95,25 +119,29 @@ class BlockGrams:
         own[has] = counts[back]
         return own
 
-    def scores(self, totals: list[np.ndarray], n_tokens: int, alpha: float) -> np.ndarray:
-        """Sum of log scores of every document; ``totals``: corpus counts of the distinct n-grams."""
-        rest = np.maximum(n_tokens - self.sizes, 1)[self.doc]
-        log_alpha = np.log(alpha)
-        below = rest.astype(np.float64)
-        score = log_alpha - np.log(below)
+    def scores(self, totals: list[np.ndarray], alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """Per document: the sum of log scores but for the corpus size, and the number of tokens that it divides.
+
+        ``totals``: corpus counts of the distinct n-grams.
+        """
+        log_alpha, single = np.log(alpha), np.ones(len(self.doc), bool)
+        score = np.full(len(self.doc), log_alpha)
+        below = np.ones(len(self.doc))
         for k, total in enumerate(totals):
             has = self.inside >= k
             count = np.where(has, total[self.place[k]] - self.own(k), 0) if len(total) else np.zeros(len(has))
             seen = has & (count > 0)
-            context = rest if k == 0 else np.concatenate([below[:1], below[:-1]])
+            context = np.concatenate([below[:1], below[:-1]]) if k else below
             backed = score + np.where(has & (k > 0), log_alpha, 0.0)
             score = np.where(seen, np.log(np.maximum(count, 1) / np.maximum(context, 1)), backed)
+            single &= ~seen | (k == 0)
             below = count.astype(np.float64)
-        return np.bincount(self.doc, weights=score, minlength=len(self.sizes))
+        n = len(self.sizes)
+        return np.bincount(self.doc, weights=score, minlength=n), np.bincount(self.doc[single], minlength=n)
 
 
 def log_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_column: str = "doc_id",
-               text_column: str = "text", block_chars: int = BLOCK_CHARS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+               text_column: str = "text", block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """Per row: id, ``n_tokens``, ``log_score`` (sum of natural logs of the tokens' scores).
 
     A token's score is count(n-gram) / count(n-gram without its last token) for the longest n-gram, up to
@@ -122,14 +150,13 @@ def log_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col
     tokens and scores 0; a null id stays null; repeated rows are each other's corpus. An empty table gives
     an empty result. Other columns are not read.
     """
-    blocks = materialize(gathered(docs, block_chars, id_column, text_column), "blocks")
-    n_tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(8, -(-n_tokens // bucket_tokens))
+    stored = materialize(gathered(docs, block_chars, id_column, text_column), "blocks")
+    buckets = max(8, -(-(stored.agg(F.sum("n_chars")).first()[0] or 0) // bucket_chars))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                grams = BlockGrams(texts.as_py(), order)
+            for block, sizes, texts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                grams = BlockGrams(texts_of(sizes, texts), order)
                 for k in range(order):
                     hashes, counts = grams.hashes[k], grams.counts[k]
                     bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -140,39 +167,41 @@ def log_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col
                             pa.array(some * order + k, pa.int64()),
                             pa.array(np.full(len(some), block), pa.int64()),
                             pa.array([hashes[ends[b]:ends[b + 1]].tobytes() for b in some], pa.binary()),
-                            pa.array([counts[ends[b]:ends[b + 1]].astype("<u4").tobytes() for b in some], pa.binary()),
+                            pa.array([packed(counts[ends[b]:ends[b + 1]]) for b in some], pa.binary()),
                         ],
                         ["part", "block", "hashes", "counts"],
                     )
 
     def reply(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
         distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(back, weights=counts, minlength=len(distinct)).astype("<i8")[back]
-        wide = "<i8" if total.max(initial=0) >= 1 << 32 else "<u4"
+        total = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)[back]
         ends = np.cumsum([len(h) for h in hashes])
         return pa.table({
             "block": table.column("block"), "part": table.column("part"),
-            "totals": pa.array([t.astype(wide).tobytes() for t in np.split(total, ends[:-1])], pa.binary()),
-            "wide": pa.array([wide == "<i8"] * len(hashes), pa.bool_())})
+            "totals": pa.array([packed(t) for t in np.split(total, ends[:-1])], pa.binary())})
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = left.column("ids")[0].values, left.column("texts")[0].as_py()
-        grams = BlockGrams(texts, order)
-        by_part = dict(zip(right.column("part").to_pylist(), zip(right.column("totals").to_pylist(), right.column("wide").to_pylist())))
-        totals = []
-        for k in range(order):
-            parts = [np.frombuffer(t, "<i8" if w else "<u4").astype(np.int64)
-                     for p, (t, w) in sorted(by_part.items()) if p % order == k]
-            totals.append(np.concatenate([*parts, np.empty(0, np.int64)]))
-        return pa.table({
-            "id": ids, "n_tokens": pa.array(grams.sizes, pa.int64()),
-            "log_score": pa.array(grams.scores(totals, n_tokens, alpha), pa.float64())})
-
-    sent = blocks.select("block", "texts").mapInArrow(send, "part long, block long, hashes binary, counts binary")
-    totals = sent.groupBy("part").applyInArrow(reply, "block long, part long, totals binary, wide boolean")
-    kind = docs.schema[id_column].dataType.simpleString()
-    out = blocks.select("block", "ids", "texts").groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
-        sum_up, f"id {kind}, n_tokens long, log_score double")
-    return out.withColumnRenamed("id", id_column)
+        if not left.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("id", id_type), ("n_tokens", pa.int64()), ("part", pa.float64()),
+                                                             ("single", pa.int64()))})
+        texts = texts_of(left.column("sizes")[0].as_py(), left.column("texts")[0].as_py())
+        grams, ids = BlockGrams(texts, order), left.column("ids")[0].values
+        by_part = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
+        totals = [np.concatenate([*[unpacked(t) for p, t in by_part if p % order == k], np.empty(0, np.int64)])
+                  for k in range(order)]
+        part, single = grams.scores(totals, alpha)
+        return pa.table({"id": ids, "n_tokens": pa.array(grams.sizes, pa.int64()), "part": pa.array(part, pa.float64()),
+                         "single": pa.array(single, pa.int64())})
+
+    sent = stored.select("block", "sizes", "texts").mapInArrow(send, "part long, block long, hashes binary, counts binary")
+    totals = sent.groupBy("part").applyInArrow(reply, "block long, part long, totals binary")
+    kind = docs.schema[id_column].dataType
+    id_type = to_arrow_type(kind)
+    summed = stored.select("block", "ids", "sizes", "texts").groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
+        sum_up, f"id {kind.simpleString()}, n_tokens long, part double, single long")
+    summed = materialize(summed, "scores")
+    n_tokens = summed.agg(F.sum("n_tokens")).first()[0] or 0
+    rest = F.greatest(F.lit(n_tokens) - F.col("n_tokens"), F.lit(1))
+    return summed.select(F.col("id").alias(id_column), "n_tokens", (F.col("part") - F.col("single") * F.log(rest)).alias("log_score"))
