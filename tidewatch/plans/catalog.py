@@ -223,6 +223,12 @@ def q_wire_round_trip(spark, sf):
     )
 
 
+@query("reading_output")
+def q_reading_output(spark, sf):
+    shown = views.reading_output(measurements(spark, sf))
+    return shown.select(*[c for c in shown.columns if c != "observed_at"], ms("observed_at", "event_ms"))
+
+
 # ---- event-time windows
 
 def _windows(windows: DataFrame) -> DataFrame:
@@ -592,6 +598,13 @@ def q_station_alerts(spark, sf):
     return _alert_columns(views.station_alerts(after, STATION))
 
 
+@query("alert_output")
+def q_alert_output(spark, sf):
+    after, _ = _commanded(spark, sf)
+    return _alert_columns(
+        views.alert_output(after), ms("acknowledged_at", "acknowledged_ms"), ms("resolved_at", "resolved_ms"))
+
+
 @query("alert_actions")
 def q_alert_actions(spark, sf):
     after, _ = _commanded(spark, sf)

@@ -402,6 +402,9 @@ FROM (SELECT * FROM m ORDER BY ms DESC, seq LIMIT 30) f LEFT JOIN stations s ON
 SELECT m.event_id, coalesce(s.name, m.station_id) AS station_name, {LEVEL_TEXT} AS water_level
 FROM m LEFT JOIN stations s ON s.id = m.station_id"""),
     "active_alerts": select(COMMANDED, f"SELECT {ALERT} FROM commanded WHERE status = 'ACTIVE'"),
+    "alert_output": select(COMMANDED, f"SELECT {ALERT}, acknowledged_ms, resolved_ms FROM commanded"),
+    "reading_output": select(M, f"""
+SELECT {READING}, CAST(NULL AS DOUBLE) AS flow_rate_m3s, CAST(1 AS INTEGER) AS schema_version FROM m"""),
     "station_alerts": select(COMMANDED, f"SELECT {ALERT} FROM commanded WHERE station_id = '3'"),
     "alert_actions": select(COMMANDED, """
 SELECT id, status, CASE status WHEN 'ACTIVE' THEN 'acknowledge,resolve' WHEN 'ACKNOWLEDGED' THEN 'resolve'
