@@ -179,7 +179,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.deduplicated(table(spark, sf_dir, "documents"), short_repeats=True)
     return cleaned.select(
         "doc_id", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"),
         F.sha2("text", 256).alias("text_sha256"),
