@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, line_dedup, lm, metric_join, packing, secrets, simhash, token_store, topk, toxicity
+from tidewatch.llm import (
+    bpe, line_dedup, lm, merkle, metric_join, mixing, packing, secrets, simhash, token_store, topk, toxicity,
+)
 from tidewatch.session import prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +217,115 @@ WITH tokens AS (
 SELECT doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(s, 0), 5) AS log_score
 FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id) USING (doc_id)
 """
+
+
+@query("op11_merkle_manifest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", UPPER, UPPER.lower())
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf(
+        *[lowered if c == "text" else F.col(c) for c in LEAF]))
+    found = merkle.manifest(docs, LEAF, keep={"tampered": tampered})
+    again = merkle.folded(F.coalesce("tampered", "leaf"), F.col("siblings"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.joined(F.col("siblings"))).alias("proof_sha256"),
+        again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def tree_sql(nodes: str, name: str, levels: int) -> str:
+    """Views ``<name>0``, ``<name>1``, ... of all levels over ``nodes(tree, pos, h)``; a single node stays as it is."""
+    above = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY tree) AS m FROM {nodes})"]
+    above += [f"{name}{k + 1} AS (SELECT tree, pos // 8 AS pos, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) "
+              f"ELSE any_value(h) END AS h, (any_value(m) + 7) // 8 AS m FROM {name}{k} GROUP BY tree, pos // 8)"
+              for k in range(levels)]
+    return ",\n".join(above)
+
+
+def path_sql(rows: str, name: str, levels: int, node: str) -> str:
+    """Views that climb ``rows(tree, pos, proof, again, ...)`` up the levels; ``node``: the columns to carry."""
+    climbed = []
+    for k in range(levels):
+        before = rows if k == 0 else f"{name}p{k}"
+        climbed.append(f"""{name}p{k + 1} AS (SELECT {node}, r.tree, r.pos // 8 AS pos, proof || coalesce(lft, '') || coalesce(rgt, '') AS proof,
+  CASE WHEN many THEN sha256(coalesce(lft, '') || again || coalesce(rgt, '')) ELSE again END AS again
+  FROM {before} r JOIN (SELECT a.tree, a.pos, any_value(a.m) > 1 AS many, string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos) AS lft,
+    string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos) AS rgt
+    FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.pos // 8 = b.pos // 8 GROUP BY a.tree, a.pos) s ON r.tree = s.tree AND r.pos = s.pos)""")
+    return ",\n".join(climbed)
+
+
+#: columns that a leaf covers, in order
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: DuckDB has the CRC-32 of no text, so it comes bit by bit from the generator's fixed value
+CRC = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda x, c: list_reduce(list_prepend(xor(x, c), [0::BIGINT,0,0,0,0,0,0,0]),
+    lambda y, z: xor(y >> 1, (y & 1) * 3988292384::BIGINT)))) """
+LEVELS, TREES = 7, 3
+FIELD = "coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(FIELD.format(c=text if c == "text" else c) for c in LEAF) + ")"
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS tree, {leaf_sql("text")} AS h,
+    CASE WHEN xor({CRC}, 4294967295::BIGINT) % 3 = 0 THEN {leaf_sql(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} END AS bad FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaves
+), {tree_sql("(SELECT tree, pos, h FROM numbered)", "a", LEVELS)},
+subroots AS (SELECT tree AS name, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h FROM a{LEVELS}),
+{tree_sql("(SELECT tree, pos, h FROM subroots)", "b", TREES)},
+started AS (SELECT doc_id, h AS leaf, tree, pos, '' AS proof, coalesce(bad, h) AS again FROM numbered),
+{path_sql("started", "a", LEVELS, "doc_id, leaf")},
+entered AS (
+  SELECT doc_id, leaf, s.h AS subroot, s.tree, s.pos, proof, again FROM ap{LEVELS} p JOIN subroots s ON s.name = p.tree
+), {path_sql("entered", "b", TREES, "doc_id, leaf, subroot")}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, again AS folded_root, again = root AS verified
+FROM bp{TREES}, (SELECT h AS root FROM b{TREES})
+"""
+
+
+@query("op12_source_mix")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def draw_sql(seed: str) -> str:
+    return f"('0x' || substr(sha256({seed} || ':' || key), 1, {mixing.DIGITS}))::BIGINT::DOUBLE / {float(16 ** mixing.DIGITS)!r}::DOUBLE"
+
+
+ORACLE["op12_source_mix"] = f"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {quoted(mixing.WORD)}))::BIGINT AS size,
+    (row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1) || ':' || coalesce(doc_id::VARCHAR, '-') || ':' || sha256(coalesce(text, '')) AS key
+  FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::BIGINT AS weight
+  FROM docs GROUP BY source
+), filled AS (
+  -- sources by how soon they are full: full[i] is what those before take, left[i] the weight of the rest
+  SELECT *, coalesce(sum(source_size) OVER before, 0) AS taken_up, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS rest,
+    sum(source_size) OVER () AS total FROM sizes
+  WINDOW before AS (ORDER BY source_size::DOUBLE / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT (3 * total - 4 * taken_up) AS num, 2 * rest AS den FROM filled
+  WHERE weight * (3 * total - 4 * taken_up) <= 2 * source_size * 2 * rest ORDER BY taken_up, rest DESC LIMIT 1
+), aims AS (
+  SELECT source, source_size, CASE WHEN weight * num > 2 * source_size * den THEN (2 * source_size)::DOUBLE
+    ELSE (weight * num)::DOUBLE / den::DOUBLE END AS target FROM sizes, level
+), rated AS (
+  SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS part
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM aims)
+), tried AS (
+  SELECT doc_id, key, size, k, r.* FROM docs d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source, range({mixing.SEEDS}) s(k)
+), taken AS (SELECT *, size * (whole + ({draw_sql("k")} < part)::BIGINT) AS taken FROM tried),
+chosen AS (
+  SELECT source, arg_min(k, struct_pack(far := abs(taken::DOUBLE - target), k := k)) AS k
+  FROM (SELECT source, k, sum(taken) AS taken, any_value(target) AS target FROM taken GROUP BY source, k) GROUP BY source
+)
+SELECT doc_id, size, source_size, target, taken FROM taken t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.k = c.k
+"""
