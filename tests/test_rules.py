@@ -9,11 +9,12 @@ from helpers import (
     MINUTE, T0_MS, at, baseline_model, candidates, ms_of, reading, readings, suppression_model, windows_model,
 )
 from tidewatch.config import RuleConfig
+from tidewatch.functions.expr import epoch_ms
 from tidewatch.functions.median import RollingMedian
-from tidewatch.operators.arrival import previous_max, running_max
+from tidewatch.operators.arrival import key_chunks, previous_max
 from tidewatch.operators.rising import _split_by_clock, late_readings, rising_candidates, rising_windows
 from tidewatch.operators.rules import threshold_candidates
-from tidewatch.operators.spike import spike_baseline, spike_candidates, spikes
+from tidewatch.operators.spike import lead_ins, spike_baseline, spike_candidates, spikes
 from tidewatch.operators.stale import last_observed, stale_candidates, stale_gaps
 from tidewatch.operators.suppression import suppress
 
@@ -129,23 +130,32 @@ def test_late_readings_miss_every_window(spark, config):
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 1000])
-def test_running_max(spark, chunk):
+def test_previous_max(spark, chunk):
     rng = random.Random(chunk)
-    values = [(rng.choice("ab"), i, rng.choice([None, rng.randint(0, 99)])) for i in range(60)]
-    table = spark.createDataFrame(values, "k string, seq long, v long")
-    expected, before, state, high = {}, {}, {}, None
-    for k, i, v in values:
-        state[k] = max([x for x in (state.get(k), v) if x is not None], default=None)
-        expected[i], before[i] = state[k], high
+    values = [(i, rng.choice([None, rng.randint(0, 99)])) for i in range(60)]
+    before, high = {}, None
+    for i, v in values:
+        before[i] = high
         high = max([x for x in (high, v) if x is not None], default=None)
-    got = running_max(table, F.col("v"), ["k"], "m", chunk)
-    assert {r.seq: r.m for r in got.collect()} == expected
     # nothing is declared unaffected: every row gets the exact value
+    table = spark.createDataFrame(values, "seq long, v long")
     settled, rest = previous_max(table, F.col("v"), "m", lambda low, high: F.lit(False), chunk)
     assert settled.count() == 0
     assert {r.seq: r.m for r in rest.collect()} == before
 
 
+@pytest.mark.parametrize("width", [1, 4, 50])
+def test_chunks_of_a_key(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice("aaab"), seq) for seq in sorted(rng.sample(range(2000), 300))] + [("c", 5000), ("c", 90_000)]
+    found = key_chunks(spark.createDataFrame(rows, "k string, seq long"), ["k"], width).collect()
+    assert len(found) == len(rows)
+    for k in "abc":
+        chunks = [r.chunk for r in sorted((r for r in found if r.k == k), key=lambda r: r.seq)]
+        assert chunks == sorted(chunks) and set(chunks) == set(range(chunks[-1] + 1))
+        assert all(chunks.count(c) < 2 * width or width == 1 for c in chunks)
+
+
 @pytest.mark.parametrize("group", [1, 2, 7])
 def test_chunk_groups_carry_over(spark, monkeypatch, group):
     from tidewatch.operators import arrival
@@ -230,6 +240,35 @@ def test_baseline_matches_sequential_model(spark, config, seed, chunk):
     assert got == model
 
 
+@pytest.mark.parametrize("seed, chunk, block", [(1, 4, 1), (2, 9, 3), (3, 16, 512), (4, 5, 2)])
+def test_baseline_with_clocks_ahead(spark, config, monkeypatch, seed, chunk, block):
+    from tidewatch.operators import spike
+
+    monkeypatch.setattr(spike.lead_ins, "__defaults__", (block,))
+    rng = random.Random(seed)
+    rows = [(i, m + rng.choice([0] * 20 + [90, 300, 600_000]), lv, s) for i, m, lv, s in disordered(260, seed, spread=80)]
+    table = readings(spark, [reading(i, m, lv, station=s) for i, m, lv, s in rows])
+    model = baseline_model(
+        [(s, i, ms_of(at(m)), lv) for i, m, lv, s in rows if lv is not None], config.spike_window_ms)
+    got = {(r.station_id, r.seq): (r.baseline_count, r.baseline_median_m)
+           for r in spike_baseline(table, config, chunk).collect()}
+    assert got == model
+
+
+def test_a_stalled_clock_gathers_no_station(spark, config):
+    """One reading dated a year ahead, then thousands of ordinary ones, all behind its clock."""
+    rows = [reading(0, 525_600, 1.0)] + [reading(i, i, 1.0) for i in range(1, 4000)]
+    levels = readings(spark, rows).select(
+        "station_id", "seq", epoch_ms("observed_at").alias("event_ms"), F.col("water_level_m").alias("level_m"))
+    chunked = key_chunks(levels, ["station_id"], 200)
+    together = chunked.union(lead_ins(chunked, config.spike_window_ms).select(chunked.columns))
+    sizes = [r["count"] for r in together.groupBy("station_id", "chunk").count().collect()]
+    # a chunk's own rows, the hour before it and the one sample that stays
+    assert len(sizes) == 20 and max(sizes) <= 200 + 61 + 1
+    got = {r.seq: r.baseline_count for r in spike_baseline(readings(spark, rows), config, 200).collect()}
+    assert got == {i: min(i, 61) for i in range(4000)}
+
+
 def test_rolling_median_against_plain_lists():
     from statistics import median
 

@@ -29,24 +29,19 @@ def chunk_of(seq: Column, chunk_rows: int) -> Column:
     return div(seq, chunk_rows)
 
 
-def running_max(
-    rows: DataFrame,
-    value: Column,
-    keys: list[str],
-    name: str,
-    chunk_rows: int = KEY_CHUNK_ROWS,
-) -> DataFrame:
-    """Add ``name``: maximum of ``value`` over the rows of the same keys up to and including this one.
+def key_chunks(rows: DataFrame, keys: list[str], chunk_rows: int = KEY_CHUNK_ROWS) -> DataFrame:
+    """Add ``chunk``: consecutive numbers from 0 over stretches of a key's arrivals, of fewer than 2 * ``chunk_rows``
+    rows each.
 
-    Costs one shuffle of the rows plus one partially aggregated pass for the summaries.
+    Cells of ``chunk_rows`` arrival numbers are counted by partial aggregation; neighbouring cells of a key join one
+    chunk until it is full, so that a key with few rows in a cell is not cut at every cell.
     """
-    chunked = rows.withColumns({"_value": value, "_chunk": chunk_of(F.col("seq"), chunk_rows)})
-    carried = (
-        chunked.groupBy(*keys, "_chunk")
-        .agg(F.max("_value").alias("_chunk_max"))
-        .select(*keys, "_chunk", F.max("_chunk_max").over(earlier_chunks(keys)).alias("_carried"))
-    )
-    return _within_chunks(chunked.join(carried, [*keys, "_chunk"]), keys, name, include_current=True)
+    cells = rows.withColumn("_cell", chunk_of(F.col("seq"), chunk_rows))
+    counts = cells.groupBy(*keys, "_cell").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    numbered = counts.select(*keys, "_cell", div(before, chunk_rows).alias("chunk"))
+    return cells.join(numbered, [*keys, "_cell"]).drop("_cell")
 
 
 def earlier_chunks(keys: list[str]) -> WindowSpec:

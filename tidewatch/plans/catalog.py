@@ -25,7 +25,7 @@ from tidewatch.operators.suppression import suppress
 from tidewatch.plans.replay import alert_events, alert_table, all_candidates
 from tidewatch.session import materialize, prepare, shared_dir
 from tidewatch.sources.decode import decode_alert_events, decode_measurements
-from tidewatch.sources.events import event_stream, measurements, read_table, scrambled, stations
+from tidewatch.sources.events import bad_clocks, event_stream, measurements, read_table, scrambled, stations
 from tidewatch.sources.wire import encode_alert_events, encode_measurements, to_wire_event
 from tidewatch.streaming import jobs
 
@@ -278,6 +278,12 @@ def q_spike_baseline_disordered(spark, sf):
     return _baseline(spike_baseline(scrambled(measurements(spark, sf)), CONFIG))
 
 
+@query("spike_baseline_bad_clock")
+def q_spike_baseline_bad_clock(spark, sf):
+    """Clocks that run ahead: what arrives later is old, and samples of the future stay for good."""
+    return _baseline(spike_baseline(bad_clocks(scrambled(measurements(spark, sf))), CONFIG))
+
+
 @query("spike_alerts")
 def q_spike_alerts(spark, sf):
     return spikes(spike_baseline(measurements(spark, sf), CONFIG), CONFIG).select(

@@ -14,6 +14,10 @@ M = """m AS (
 D = M + """, d AS (
   SELECT * REPLACE ((seq + (seq * 7919) % 50) * 50 + 49 - (seq * 7919) % 50 AS seq) FROM m)"""
 
+# some readings are dated ahead, by hours or by more than a year
+B = D + f""", bad AS (
+  SELECT * REPLACE (ms + CAST(CASE WHEN seq % 97 = 0 THEN 400 * 24 WHEN seq % 89 = 3 THEN 5 ELSE 0 END AS BIGINT) * {60 * MINUTE} AS ms) FROM d)"""
+
 STATIONS = """stations AS (
   SELECT CAST(s_suppkey + 1 AS VARCHAR) AS id, 'ST-' || CAST(s_suppkey + 1 AS VARCHAR) AS station_code,
          s_name AS name FROM supplier)"""
@@ -317,6 +321,7 @@ SELECT event_id, station_id, ms, pm AS prev_max_ms FROM clocked
 WHERE ms - ms % {5 * MINUTE} + {15 * MINUTE} <= pm - {5 * MINUTE}"""),
     "spike_baseline": select(M + ", " + baseline("m"), f"SELECT {BASE} FROM base"),
     "spike_baseline_disordered": select(D + ", " + baseline("d"), f"SELECT {BASE} FROM base"),
+    "spike_baseline_bad_clock": select(B + ", " + baseline("bad"), f"SELECT {BASE} FROM base"),
     "spike_alerts": select(M + ", " + baseline("m"), f"SELECT {BASE}, delta_m FROM spike"),
     "stale_alerts": select(M + ", " + STALE, "SELECT station_id, fire_ms, last_observed_ms FROM stale"),
     "last_observed": select(

@@ -58,6 +58,12 @@ def scrambled(readings: DataFrame) -> DataFrame:
     return readings.withColumn("seq", (F.col("seq") + shift) * 50 + 49 - shift)
 
 
+def bad_clocks(readings: DataFrame) -> DataFrame:
+    """The same readings, some of them dated far ahead: by some hours, or by more than a year."""
+    ahead = F.when(F.col("seq") % 97 == 0, 400 * 24).when(F.col("seq") % 89 == 3, 5).otherwise(0)
+    return readings.withColumn("observed_at", F.col("observed_at") + F.make_dt_interval(hours=ahead))
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as stations: station 0 is missing, most others never report."""
     number = (F.col("s_suppkey") + 1).cast("string")
