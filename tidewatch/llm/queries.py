@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
-    bpe, line_dedup, lm, merkle, metric_join, mixing, packing, secrets, simhash, token_store, topk, toxicity,
+    bpe, collocations, line_dedup, lm, merkle, metric_join, mixing, packing, secrets, simhash, token_store, topk, toxicity,
 )
 from tidewatch.session import prepare, shared_dir
 
@@ -329,3 +329,39 @@ chosen AS (
 )
 SELECT doc_id, size, source_size, target, taken FROM taken t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.k = c.k
 """
+
+
+@query("op13_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
+ORACLE["op13_collocations"] = f"""
+WITH split AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM split),
+counted AS MATERIALIZED (
+  SELECT lang || chr(9) AS g, size, g || phrase AS key, phrase, count(*) AS f FROM (
+    SELECT lang, 1 AS size, unnest(w) AS phrase FROM words
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words
+  ) GROUP BY ALL
+), often AS MATERIALIZED (SELECT key, f FROM counted WHERE f >= 10),
+sized AS MATERIALIZED (SELECT g, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY g),
+candidates AS MATERIALIZED (
+  SELECT *, f AS a, g || w[1] AS head, g || array_to_string(w[2:], ' ') AS rest, g || array_to_string(w[:size - 1], ' ') AS most, g || w[size] AS last
+  FROM (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE size > 1 AND f >= 10)
+), longer AS MATERIALIZED (
+  SELECT key, max(a) AS f FROM (SELECT most AS key, a FROM candidates WHERE size = 3 UNION ALL SELECT rest, a FROM candidates WHERE size = 3) GROUP BY key
+), cuts AS (
+  SELECT g, key, phrase, a, 1 AS cut, head AS lkey, rest AS rkey FROM candidates
+  UNION ALL SELECT g, key, phrase, a, 2, most, last FROM candidates WHERE size = 3
+), scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN often x ON x.key = lkey JOIN often y ON y.key = rkey
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY key ORDER BY score, cut) = 1)
+SELECT left(c.g, length(c.g) - 1) AS lang, row_number() OVER (PARTITION BY c.g ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest c JOIN sized s ON s.g = c.g LEFT JOIN longer h ON h.key = c.key
+WHERE h.f IS NULL OR 100 * h.f < 50 * a QUALIFY rank <= 2000
+"""
