@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 import time
 
@@ -14,10 +15,12 @@ from tidewatch.operators import rules
 from tidewatch.operators.rising import rising_candidates, rising_windows
 from tidewatch.operators.spike import spike_baseline, spike_candidates, spikes
 from tidewatch.operators.suppression import suppress
-from tidewatch.schemas import STATION
+from tidewatch.operators import stored as stored_reads
+from tidewatch.schemas import ALERT_EVENT, STATION
 from tidewatch.sources.topics import from_kafka, in_arrival_order, read_folder, write_folder
 from tidewatch.streaming import jobs
 from tidewatch.streaming.alert_table import AlertTable
+from tidewatch.streaming.kept import LATEST, last_seen_view, latest_view
 
 NOW = {"availableNow": True}
 SOON = {"processingTime": "0 seconds"}
@@ -206,11 +209,12 @@ def test_ingest_stream_routes_every_record(spark, tmp_path, config):
     more = str(tmp_path / "more")
     drop_file(more, 0, [message(20, 70, 1.0, 1.0)])
     labelled = jobs.labelled_submissions(read_folder(spark, more, 1), stations, check_uuid=False)
-    seen = []
-    sink = jobs.ingest_sink(base, config, lambda df, b: write_folder(df, measurements, b), lambda df: seen.append(df.count()))
+    view = last_seen_view(spark, f"{base}/last_seen")
+    sink = jobs.ingest_sink(base, config, lambda df, b: write_folder(df, measurements, b), [view])
     finish(jobs.start("ingest_again", labelled, sink, str(tmp_path / "cp2"), NOW))
     stored = spark.read.parquet(f"{base}/measurements")
-    assert {r.event_id for r in stored.collect()} == {"e1", "e9", "e10", "e20"} and sum(seen) == 1
+    assert {r.event_id for r in stored.collect()} == {"e1", "e9", "e10", "e20"}
+    assert [(r.station_id, r.seq) for r in view.read().collect()] == [("s1", 20)]
     assert {r.seq for r in spark.read.json(f"{measurements}/*").collect()} == {1, 9, 10, 20}
     assert os.listdir(f"{base}/measurements")[0].startswith("observed_date=") or "_SUCCESS" in os.listdir(f"{base}/measurements")
 
@@ -300,7 +304,7 @@ def test_alert_records_reach_the_table(spark, tmp_path, config):
     # a batch that runs again changes nothing
     before = table.manifest()
     (name,) = before["committed"]
-    table.apply(0, spark.createDataFrame([], rejects_schema()), stations_of(spark, "s1"), run=name)
+    table.apply(0, spark.createDataFrame([], ALERT_EVENT), stations_of(spark, "s1"), run=name)
     assert table.manifest() == before
     # a run under a new checkpoint starts over: it repeats old records without harm and adds new ones
     drop_file(topic, 3, [event(6, "d", 30, 1)])
@@ -311,7 +315,93 @@ def test_alert_records_reach_the_table(spark, tmp_path, config):
         ("a", "ACKNOWLEDGED", 2), ("b", "ACTIVE", 1), ("d", "ACTIVE", 1)}
 
 
-def rejects_schema():
-    from tidewatch.schemas import ALERT_EVENT
+def test_a_repeated_batch_keeps_its_rejects(spark, tmp_path):
+    """An event without trigger time ahead of a timed one of the same alert is turned away, also the second time."""
+    def event(seq, minutes):
+        return ("a", "s1", "LEVEL_HIGH", "HIGH", "ACTIVE", "t", "r", "{}", None if minutes is None else at(minutes), None,
+                None, at(minutes or 0), 1, seq)
 
-    return ALERT_EVENT
+    events = spark.createDataFrame([event(1, None), event(2, 5)], ALERT_EVENT)
+    table, seen = AlertTable(spark, str(tmp_path / "alerts")), []
+    for _ in range(2):
+        table.apply(0, events, stations_of(spark, "s1"), run="r",
+                    rejects=lambda rows: seen.append([(r.seq, r.reject_reason) for r in rows.collect()]))
+    assert len(seen) == 1 and [seq for seq, _ in seen[0]] == [1]
+    assert [r.id for r in table.read().collect()] == ["a"]
+
+
+def test_a_station_registered_between_two_batches(spark, tmp_path):
+    topic, changes, out, cp = (str(tmp_path / n) for n in ("in", "stations", "out", "cp"))
+    os.makedirs(changes)
+
+    def run():
+        labelled = jobs.labelled_submissions(
+            read_folder(spark, topic, 1), stations_of(spark, "s1"), check_uuid=False,
+            registered=jobs.station_changes(read_folder(spark, changes, 1)), shares=2)
+        finish(jobs.start("live", labelled, lambda df, b: write_folder(df, out, b), cp, NOW))
+        return {r.seq: r.outcome for r in spark.read.json(f"{out}/*").collect()}
+
+    drop_file(topic, 0, [message(1, 0, 1.0, 1.0), message(2, 0, 1.0, 1.0, station="s2"), message(3, 0, 1.0, 1.0, station="s3")])
+    assert run() == {1: "ACCEPTED", 2: "ERROR", 3: "ERROR"}
+    drop_file(changes, 1, [(1, '{"id": "s2"}'), (2, "{broken"), (3, "{}")])
+    drop_file(topic, 1, [message(s, 1, 1.0, 1.0, station="s2") for s in (4, 5)] + [message(6, 1, 1.0, 1.0, station="s3"), (7, None)])
+    assert {k: v for k, v in run().items() if k > 3} == {4: "ACCEPTED", 5: "ACCEPTED", 6: "ERROR", 7: "MALFORMED"}
+
+
+def test_ids_stored_under_another_checkpoint(spark, tmp_path, config):
+    base = str(tmp_path / "store")
+    for k, seqs in enumerate([(1, 2), (3, 4)]):
+        topic = str(tmp_path / f"in{k}")
+        drop_file(topic, 0, [message(s, s, 1.0, 1.0, event_id=f"e{s % 3}") for s in seqs])
+        stored = stored_reads.of_dates(spark, f"{base}/measurements", stored_reads.dates(spark, f"{base}/measurements"))
+        labelled = jobs.labelled_submissions(read_folder(spark, topic, 1), stations_of(spark, "s1"), check_uuid=False, stored=stored)
+        finish(jobs.start(f"seeded{k}", labelled, jobs.ingest_sink(base, config, lambda df, b: None), str(tmp_path / f"cp{k}"), NOW))
+    assert {r.seq: r.outcome for r in spark.read.parquet(f"{base}/audit").collect()} == {
+        1: "ACCEPTED", 2: "ACCEPTED", 3: "ACCEPTED", 4: "DUPLICATE"}
+
+
+def test_a_batch_of_nothing_accepted(spark, tmp_path, config):
+    topic, base = str(tmp_path / "in"), str(tmp_path / "store")
+    drop_file(topic, 0, [message(1, 60, 1.0, 1.0)])
+    drop_file(topic, 1, [(2, "{broken"), message(3, 90, 1.0, 1.0, station="nowhere")])
+    drop_file(topic, 2, [message(4, 30, 1.0, 1.0)])
+    labelled = jobs.labelled_submissions(read_folder(spark, topic, 1), stations_of(spark, "s1"), check_uuid=False)
+    finish(jobs.start("nothing", labelled, jobs.ingest_sink(base, config, lambda df, b: None), str(tmp_path / "cp"), NOW))
+    # the highest event time lives on over the empty batch
+    assert [r.event_id for r in spark.read.parquet(f"{base}/late").collect()] == ["e4"]
+
+
+def test_kept_views(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), at(rng.randrange(50)), float(i), None, i) for i in range(300)]
+    rng.shuffle(rows)
+    batches = [rows[i:i + 30] for i in range(0, 300, 30)]
+    latest = latest_view(spark, str(tmp_path / "latest"), merge_after=3)
+    seen = last_seen_view(spark, str(tmp_path / "seen"), merge_after=3)
+    assert latest.read().isEmpty()
+    # some batches run again, also after their part was merged
+    for k in [*range(10), 0, 4, 9]:
+        frame = spark.createDataFrame(batches[k], LATEST)
+        latest.add(frame, f"run-{k}")
+        seen.add(frame, f"run-{k}")
+    want = {s: max((r for r in rows if r[0] == s), key=lambda r: (r[1], -r[4]))[4] for s in "abc"}
+    assert {r.station_id: r.seq for r in latest.read().collect()} == want
+    assert {r.station_id: r.seq for r in seen.read().collect()} == {s: max(r[4] for r in rows if r[0] == s) for s in "abc"}
+    assert len(os.listdir(tmp_path / "latest")) < 10
+
+
+def test_stored_reads_touch_the_newest_dates_only(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = [reading(i, i * 180, 1.0, station="s1" if i % 40 else "rare") for i in range(400)]
+    for k in range(2):
+        stored_reads.store(readings(spark, rows[k * 200:k * 200 + 200]), path, f"run-{k}")
+    stored_reads.store(readings(spark, rows[200:]), path, "run-1")  # again
+    recent = stored_reads.recent(spark, path, 10)
+    assert [r.seq for r in recent.collect()] == list(range(399, 389, -1))
+    newest = set(stored_reads.dates(spark, path)[:2])
+    assert {f.split("observed_date=")[1][:10] for f in recent.inputFiles()} <= newest
+    assert [r.seq for r in stored_reads.recent_of_station(spark, path, "rare", 3).collect()] == [360, 320, 280]
+    assert stored_reads.recent(spark, path, 1000).count() == 400
+    assert stored_reads.recent(spark, str(tmp_path / "none"), 10).isEmpty()
+    days = stored_reads.dates(spark, path)[2:4]
+    assert {r.observed_at.strftime("%Y-%m-%d") for r in stored_reads.between(spark, path, days[1], days[0]).collect()} == set(days)

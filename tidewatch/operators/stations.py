@@ -52,11 +52,15 @@ def register(stations: DataFrame, submissions: DataFrame, now: Column | None = N
 
 def touch_last_seen(stations: DataFrame, accepted: DataFrame) -> DataFrame:
     """Set last seen to the event time of each station's last accepted arrival (may move back)."""
-    seen = accepted.groupBy(F.col("station_id").alias("id")).agg(
-        F.max_by("observed_at", "seq").alias("_seen")
-    )
+    seen = accepted.groupBy("station_id").agg(F.max_by("observed_at", "seq").alias("observed_at"))
+    return with_last_seen(stations, seen)
+
+
+def with_last_seen(stations: DataFrame, seen: DataFrame) -> DataFrame:
+    """Stations with the times of ``seen(station_id, observed_at)``, one row per station."""
+    times = seen.select(F.col("station_id").alias("id"), F.col("observed_at").alias("_seen"))
     return (
-        stations.join(seen, "id", "left")
+        stations.join(times, "id", "left")
         .withColumn("last_seen_at", F.coalesce("_seen", "last_seen_at"))
         .select(*FIELDS)
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import RuleConfig
 from tidewatch.functions.expr import epoch_ms, parse_severity
 from tidewatch.operators import alerts as al
-from tidewatch.operators import ingest, views
+from tidewatch.operators import ingest, stored, views
 from tidewatch.operators import stations as st
 from tidewatch.operators.contracts import with_submission_errors
 from tidewatch.operators.rising import late_readings, rising_candidates, rising_windows
@@ -24,10 +24,13 @@ from tidewatch.operators.stale import last_observed, stale_gaps
 from tidewatch.operators.suppression import suppress
 from tidewatch.plans.replay import alert_events, alert_table, all_candidates
 from tidewatch.session import materialize, prepare, shared_dir
-from tidewatch.sources.decode import decode_alert_events, decode_measurements
+from tidewatch.sources.decode import decode_alert_events, decode_measurements, malformed
 from tidewatch.sources.events import bad_clocks, event_stream, measurements, read_table, scrambled, stations
+from tidewatch.sources.topics import read_folder
 from tidewatch.sources.wire import encode_alert_events, encode_measurements, to_wire_event
 from tidewatch.streaming import jobs
+from tidewatch.streaming.alert_table import AlertTable
+from tidewatch.streaming.kept import last_seen_view, latest_view
 
 CONFIG = RuleConfig()
 # fields of the evidence objects of all rules
@@ -156,6 +159,14 @@ def q_malformed_by_error(spark, sf):
     return decoded.filter(F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("malformed_records")
+def q_malformed_records(spark, sf):
+    """Quarantined records: the error, the head of the side record and whether a payload is kept."""
+    bad = malformed(decode_measurements(raw_measurements(measurements(spark, sf)), check_uuid=False))
+    head = F.substring_index("record", " | raw=", 1)
+    return bad.select("seq", "error", head.alias("head"), F.col("raw").isNotNull().alias("has_raw"))
+
+
 def submissions(spark, sf) -> DataFrame:
     """Every reading as a submission; some repeat an event id or break the contract."""
     seq = F.col("seq")
@@ -398,6 +409,95 @@ def q_stream_rising(spark, sf):
     return slim_candidates(_run_stream("stream_rising", candidates))
 
 
+def _ingest(spark, sf, name: str, raw: DataFrame, *kept) -> str:
+    """Run the ingest stream over ``raw`` with views to keep; returns its folder."""
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    labelled = jobs.labelled_submissions(raw, stations(spark, sf), check_uuid=False)
+    views_ = [view(spark, f"{base}/{view.__name__}") for view in kept]
+    sink = jobs.ingest_sink(base, CONFIG, lambda records, batch: None, views_)
+    jobs.start(name, labelled, sink, f"{base}/checkpoint", {"availableNow": True}).awaitTermination()
+    return base
+
+
+def _published(readings: DataFrame) -> DataFrame:
+    return encode_measurements(readings, keep=["seq", "received_at"])
+
+
+@query("stream_station_cards")
+def q_stream_station_cards(spark, sf):
+    """Station cards from the view of latest readings that the ingest stream keeps."""
+    base = _ingest(spark, sf, "stream_station_cards", _published(event_stream(spark, sf)), latest_view)
+    latest = latest_view(spark, f"{base}/latest_view").read()
+    return views.station_cards(stations(spark, sf), latest).select(
+        "id", "name", ms("observed_at", "event_ms"), "reading")
+
+
+@query("stream_last_seen")
+def q_stream_last_seen(spark, sf):
+    """Last-seen times that the ingest stream keeps, in disturbed arrival order."""
+    base = _ingest(spark, sf, "stream_last_seen", _published(scrambled(event_stream(spark, sf))), last_seen_view)
+    seen = last_seen_view(spark, f"{base}/last_seen_view").read()
+    return st.with_last_seen(stations(spark, sf), seen).select("id", ms("last_seen_at", "last_seen_ms"))
+
+
+@query("stream_live_stations")
+def q_stream_live_stations(spark, sf):
+    """Two runs of one ingest stream; every other station registers between them."""
+    jobs.use_rocksdb(spark)
+    base = f"{shared_dir(spark)}/stream_live_stations-{uuid.uuid4().hex}"
+    readings = measurements(spark, sf)
+    half = readings.agg(F.call_function("div", F.max("seq"), F.lit(2))).first()[0]
+    early = F.col("id").cast("long") % 2 == 0
+    record = F.to_json(F.struct("id")).alias("value")
+    late = stations(spark, sf).filter(~early).select(
+        F.col("id").cast("long").alias("seq"), F.col("id").alias("key"), record,
+        F.current_timestamp().alias("received_at"))
+    for run, (more, changes) in enumerate([("seq <= {}", late.limit(0)), ("seq > {}", late)]):
+        _published(readings.filter(more.format(half))).write.json(f"{base}/raw/part={run}")
+        changes.write.json(f"{base}/stations/part={run}")
+        labelled = jobs.labelled_submissions(
+            read_folder(spark, f"{base}/raw/*"), stations(spark, sf).filter(early), check_uuid=False,
+            registered=jobs.station_changes(read_folder(spark, f"{base}/stations/*")))
+        (
+            labelled.select("seq", "outcome", "message").writeStream.queryName("stream_live_stations").outputMode("append")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+            .start(f"{base}/out", format="parquet").awaitTermination()
+        )
+    return spark.read.schema("seq long, outcome string, message string").parquet(f"{base}/out")
+
+
+@query("stream_ingest_again")
+def q_stream_ingest_again(spark, sf):
+    """A new checkpoint over a table that holds every third reading already."""
+    stored = measurements(spark, sf).filter("seq % 3 = 0")
+    labelled = jobs.labelled_submissions(
+        _published(event_stream(spark, sf)), stations(spark, sf), check_uuid=False, stored=stored)
+    return _run_stream("stream_ingest_again", labelled).select("seq", "outcome", "message")
+
+
+# ---- the stored table
+
+def _stored(spark, sf) -> str:
+    path = f"{shared_dir(spark)}/measurements-{uuid.uuid4().hex}"
+    stored.store(measurements(spark, sf), path, "replay")
+    return path
+
+
+@query("stored_recent_100")
+def q_stored_recent_100(spark, sf):
+    return _reading(stored.recent(spark, _stored(spark, sf)))
+
+
+@query("stored_recent_50_of_station")
+def q_stored_recent_50_of_station(spark, sf):
+    return _reading(stored.recent_of_station(spark, _stored(spark, sf), STATION))
+
+
+@query("stored_between")
+def q_stored_between(spark, sf):
+    return _reading(stored.between(spark, _stored(spark, sf), "2024-01-05", "2024-01-07"))
+
+
 # ---- the alert table
 
 def _table(spark, sf) -> DataFrame:
@@ -423,6 +523,39 @@ def q_alerts_redelivered(spark, sf):
     return _alert_columns(alert_table(events, stations(spark, sf), table))
 
 
+@query("stream_alert_table")
+def q_stream_alert_table(spark, sf):
+    """Alert records and operator commands through the persistence stream into the stored table."""
+    base = f"{shared_dir(spark)}/stream_alert_table-{uuid.uuid4().hex}"
+    now = F.current_timestamp().alias("received_at")
+    events = materialize(_events(spark, sf), "events")
+    encode_alert_events(events, keep=["seq"]).select("*", now).write.json(f"{base}/alerts")
+    asked = commands_for(alert_table(events, stations(spark, sf)))
+    record = F.to_json(F.struct("alert_id", "action", "at", "note")).alias("value")
+    asked.select("seq", F.col("alert_id").alias("key"), record, now).write.json(f"{base}/commands")
+    stream = jobs.persistence_stream(read_folder(spark, f"{base}/alerts"), read_folder(spark, f"{base}/commands"))
+    table = AlertTable(spark, f"{base}/table")
+    sink = jobs.persistence_sink(table, lambda: stations(spark, sf), base, check_uuid=False)
+    jobs.start("stream_alert_table", stream, sink, f"{base}/checkpoint", {"availableNow": True}).awaitTermination()
+    return table.read().select(
+        "id", "status", ms("acknowledged_at", "acknowledged_ms"), ms("resolved_at", "resolved_ms"))
+
+
+@query("alert_by_id")
+def q_alert_by_id(spark, sf):
+    """The alert with the smallest id, looked up by it."""
+    table = materialize(_table(spark, sf), "alerts")
+    return _alert_columns(views.alert_by_id(table, table.agg(F.min("id")).scalar()))
+
+
+@query("alerts_insert")
+def q_alerts_insert(spark, sf):
+    """Alerts of some stations, added as they are to a table that holds the others."""
+    table = materialize(_table(spark, sf), "alerts")
+    some = F.col("station_id").cast("int") % 2 == 0
+    return _alert_columns(al.insert(table.filter(~some), table.filter(some)))
+
+
 @query("severity_parse")
 def q_severity_parse(spark, sf):
     raw = (
@@ -490,6 +623,14 @@ def q_station_last_seen(spark, sf):
     return st.touch_last_seen(stations(spark, sf), accepted).select("id", ms("last_seen_at", "last_seen_ms"))
 
 
+@query("station_touch_now")
+def q_station_touch_now(spark, sf):
+    """Stations that report now, by the processing clock, here the end of the data."""
+    asked = measurements(spark, sf).filter("seq % 7 = 0").select(F.col("station_id").alias("id"))
+    touched = st.touch_now(stations(spark, sf), asked, clock_end(spark, sf))
+    return touched.select("id", ms("last_seen_at", "last_seen_ms"))
+
+
 def station_submissions(spark, sf) -> DataFrame:
     """Customers ask for stations; codes collide with stored ones and with each other."""
     key = F.col("c_custkey")

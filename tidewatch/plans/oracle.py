@@ -420,4 +420,33 @@ FROM commanded"""),
 SELECT 'stations' AS panel, count(*) AS n FROM stations UNION ALL
 SELECT 'active_alerts', count(*) FROM commanded WHERE status = 'ACTIVE' UNION ALL
 SELECT 'recent_measurements', least(count(*), 100) FROM m"""),
+    "stored_between": select(M, f"""
+SELECT {READING} FROM m WHERE ms >= epoch_ms(TIMESTAMP '2024-01-05') AND ms < epoch_ms(TIMESTAMP '2024-01-08')"""),
+    "stream_last_seen": select(D + ", " + STATIONS, """
+SELECT s.id, arg_max(d.ms, d.seq) AS last_seen_ms FROM stations s LEFT JOIN d ON s.id = d.station_id GROUP BY s.id"""),
+    "stream_live_stations": select(M + ", " + STATIONS, """
+SELECT seq, CASE WHEN known THEN 'ACCEPTED' ELSE 'ERROR' END AS outcome,
+       CASE WHEN known THEN 'Measurement accepted for processing' ELSE 'Station not found' END AS message
+FROM (SELECT seq, station_id IN (SELECT id FROM stations)
+        AND (CAST(station_id AS INT) % 2 = 0 OR seq > (SELECT max(seq) FROM m) // 2) AS known FROM m)"""),
+    "stream_ingest_again": select(M + ", " + STATIONS, """
+SELECT seq, CASE WHEN NOT known THEN 'ERROR' WHEN seq % 3 = 0 THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS outcome,
+       CASE WHEN NOT known THEN 'Station not found' WHEN seq % 3 = 0 THEN 'Measurement with this eventId already exists'
+            ELSE 'Measurement accepted for processing' END AS message
+FROM (SELECT seq, station_id IN (SELECT id FROM stations) AS known FROM m)"""),
+    "alert_by_id": select(TABLE, f"SELECT {ALERT} FROM alerts WHERE id = (SELECT min(id) FROM alerts)"),
+    "alerts_insert": select(TABLE, f"SELECT {ALERT} FROM alerts"),
+    "station_touch_now": select(M + ", " + STATIONS, """
+SELECT id, CASE WHEN id IN (SELECT station_id FROM m WHERE seq % 7 = 0) THEN (SELECT max(ms) FROM m) END AS last_seen_ms
+FROM stations"""),
+    "malformed_records": select(RAW, """
+SELECT seq, verdict AS error, 'malformed measurement: ' || verdict AS head, value IS NOT NULL AS has_raw
+FROM verdicts WHERE verdict <> 'valid'"""),
 }
+# the same results by another way
+ORACLE.update({
+    "stored_recent_100": ORACLE["recent_100"],
+    "stored_recent_50_of_station": ORACLE["recent_50_of_station"],
+    "stream_station_cards": ORACLE["station_cards"],
+    "stream_alert_table": ORACLE["ack_resolve"],
+})

@@ -79,13 +79,18 @@ class AlertTable:
         commands: DataFrame | None = None,
         audit: Callable[[DataFrame], None] | None = None,
         run: str = "",
-    ) -> DataFrame:
-        """Persist a batch's events, then its commands, in one commit. Returns the rejected events.
-
-        ``audit`` receives the verdict on every command before the commit. Written versions are never
-        changed: each attempt writes a new one, and what a failed attempt left is not referenced.
+        rejects: Callable[[DataFrame], None] | None = None,
+    ) -> None:
+        """Persist a batch's events, then its commands, in one commit.
+
+        ``audit`` receives the verdict on every command and ``rejects`` the events turned away, both before the
+        commit; a batch that is committed already is left alone, as the table now holds what it brought and would be
+        judged against itself. Written versions are never changed: each attempt writes a new one, and what a
+        failed attempt left is not referenced.
         """
         manifest = self.manifest()
+        if batch_id <= manifest["committed"].get(run, -1):
+            return
         ids = events.select("id")
         if commands is not None:
             ids = ids.union(commands.select(F.col("alert_id").alias("id")))
@@ -94,8 +99,8 @@ class AlertTable:
         touched = sorted(r[0] for r in found)
         stored = self.read(touched)
         screened = screen_events(events, stations, stored)
-        if batch_id <= manifest["committed"].get(run, -1):
-            return rejected(screened)
+        if rejects is not None:
+            rejects(rejected(screened))
         after = upsert(stored, persistable(screened))
         if commands is not None:
             after, verdicts = apply_commands(after, commands)
@@ -110,7 +115,6 @@ class AlertTable:
             manifest["buckets"].update({n.partition("=")[2]: version for n in names if n.startswith(f"{BUCKET}=")})
         manifest["committed"][run] = batch_id
         self._publish(manifest)
-        return rejected(screened)
 
 
 def bucket_of(column: str, count: int) -> Column:

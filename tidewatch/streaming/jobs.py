@@ -10,9 +10,9 @@ Names and the order of stateful operators must not change between releases.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,22 +29,24 @@ from tidewatch.operators.rising import (
 from tidewatch.operators.rules import as_candidates, threshold_candidates
 from tidewatch.operators.spike import spike_texts
 from tidewatch.operators.stale import stale_texts
+from tidewatch.operators.stored import STORED, store
 from tidewatch.operators.suppression import as_alert_events
-from tidewatch.schemas import ALERT_FIELDS, COMMAND, MEASUREMENT_FIELDS, SENSOR_SPIKE
+from tidewatch.schemas import ALERT_FIELDS, COMMAND, SENSOR_SPIKE
 from tidewatch.session import ROCKSDB, held
 from tidewatch.sources.decode import decode_alert_events, decode_measurements, malformed, valid
 from tidewatch.sources.topics import batch_name
 from tidewatch.sources.wire import encode_alert_events, encode_measurements
 from tidewatch.streaming.alert_table import AlertTable
+from tidewatch.streaming.kept import KeptView
 from tidewatch.streaming.processors import (
     RUN_FACT,
     STATION_FACT,
     FirstArrival,
+    KnownStation,
     RunState,
     StationState,
 )
 
-STORED = [*MEASUREMENT_FIELDS, "received_at", "seq"]
 CHECKPOINT_EVERY = "30 seconds"
 MALFORMED = "MALFORMED"
 
@@ -75,25 +77,65 @@ def start(
 
 # ---- ingest
 
-def labelled_submissions(raw: DataFrame, stations: DataFrame, check_uuid: bool = True) -> DataFrame:
+def station_changes(raw: DataFrame) -> DataFrame:
+    """Registered station ids off a topic of JSON station records; what has no id is left out."""
+    station = F.from_json("value", "id string")
+    return raw.select(station["id"].alias("station_id"), "seq").filter("station_id IS NOT NULL")
+
+
+def with_known_station(
+    decoded: DataFrame, stations: DataFrame, registered: DataFrame | None, shares: int
+) -> DataFrame:
+    """Add ``known``: whether the reading's station is registered by now.
+
+    ``stations`` are those at the first ever start. Without ``registered`` that is all there are. With it, a stream of
+    ``station_id`` registered since, every station has its mark in keyed state: registrations of a micro-batch
+    come before its readings. A station's readings are dealt to ``shares`` keys by arrival number, each with a
+    mark of its own, so that a station with most of the readings does not meet in one task.
+    """
+    ids = stations.select(F.col("id").alias("station_id")).distinct()
+    if registered is None:
+        known = ids.withColumn("known", F.lit(True))
+        return decoded.join(known, "station_id", "left").select(
+            *decoded.columns, F.col("known").isNotNull().alias("known"))
+    every = F.explode(F.array(*[F.lit(k).cast("long") for k in range(shares)])).alias("share")
+    record = F.struct(*decoded.columns)
+    nothing = F.lit(None).cast(decoded.select(record.alias("r")).schema["r"].dataType)
+    rows = decoded.select("station_id", F.pmod("seq", F.lit(shares)).alias("share"), record.alias("reading"))
+    marks = registered.select("station_id", every, nothing.alias("reading"))
+    schema = rows.select("reading", F.lit(True).alias("known")).schema
+    return (
+        rows.unionByName(marks)
+        .groupBy("station_id", "share")
+        .transformWithState(KnownStation(), schema, "append", "none", ids.select("station_id", every).groupBy("station_id", "share"))
+        .select("reading.*", "known")
+    )
+
+
+def labelled_submissions(
+    raw: DataFrame, stations: DataFrame, check_uuid: bool = True, registered: DataFrame | None = None,
+    shares: int = 8, stored: DataFrame | None = None,
+) -> DataFrame:
     """Every raw record with its outcome: MALFORMED, ERROR, ACCEPTED or DUPLICATE.
 
-    Event ids are remembered for good in the state store: a lookup costs the same however long the
-    history, where an anti-join with the stored table would read all of it for every micro-batch.
+    ``registered``: stations that register while the stream runs, see ``with_known_station``.
+
+    Event ids are remembered for good in the state store, since an id may come again at any time: a lookup costs
+    the same however long the history, where an anti-join with the stored table would read all of it for every
+    micro-batch. ``stored``: readings stored by earlier runs; a new checkpoint takes in their ids once, when it starts.
     """
     decoded = decode_measurements(raw, check_uuid=check_uuid).withColumn(
         "observed_at", truncate_ms(F.col("observed_at"))
     )
-    ids = stations.select(F.col("id").alias("station_id"), F.lit(True).alias("known")).distinct()
-    checked = decoded.withColumn(
-        "invalid", F.size(submission_errors()) > 0
-    ).join(ids, "station_id", "left").select(*decoded.columns, "invalid", F.col("known").isNotNull().alias("known"))
+    checked = with_known_station(
+        decoded.withColumn("invalid", F.size(submission_errors()) > 0), stations, registered, shares)
     sound = F.col("error").isNull() & ~F.col("invalid") & F.col("known")
     schema = checked.withColumn("duplicate", F.lit(False)).schema
+    taken = None if stored is None else stored.select("event_id").distinct().groupBy("event_id")
     judged = (
         checked.filter(sound)
         .groupBy("event_id")
-        .transformWithState(FirstArrival(), schema, "append", "none")
+        .transformWithState(FirstArrival(), schema, "append", "none", taken)
     )
     turned_away = checked.filter(~sound).withColumn("duplicate", F.lit(False))
     outcome = (
@@ -120,13 +162,13 @@ def ingest_sink(
     base: str,
     config: RuleConfig,
     publish: Callable[[DataFrame, int], None],
-    last_seen: Callable[[DataFrame], None] | None = None,
+    kept: Sequence[KeptView] = (),
 ) -> Callable[[DataFrame, int], None]:
     """Write one labelled batch: quarantine, audit, measurement table, late rows, topic.
 
     All outputs go to folders named by run and batch, so a repeated batch replaces its own rows and a run
     under a new checkpoint adds to what earlier runs left. The measurement table lies by date first, its
-    rows in order of station. ``last_seen`` receives the accepted readings, for ``touch_last_seen``.
+    rows in order of station. ``kept``: views that take in the accepted readings, as of ``last_seen_view``.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -140,36 +182,30 @@ def ingest_sink(
                 "overwrite"
             ).parquet(f"{base}/audit/{part}")
             accepted = rows.filter(F.col("outcome") == ingest.ACCEPTED)
-            (
-                accepted.select(*STORED, F.to_date("observed_at").alias("observed_date"), F.lit(name).alias("batch"))
-                .repartitionByRange("observed_date", "station_id", "seq")
-                .sortWithinPartitions("observed_date", "station_id", "observed_at")
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("observed_date", "batch").parquet(f"{base}/measurements")
-            )
-            _route_late(batch.sparkSession, accepted, base, batch_id, config)
-            if last_seen is not None:
-                last_seen(accepted)
+            seen = Observation()
+            store(accepted.observe(seen, F.max(epoch_ms("observed_at")).alias("max_ms")), f"{base}/measurements", name)
+            _route_late(batch.sparkSession, accepted, base, batch_id, config, seen.get.get("max_ms"))
+            for view in kept:
+                view.add(accepted, name)
             publish(encode_measurements(accepted, keep=["seq", "received_at"]), batch_id)
 
     return sink
 
 
 def _route_late(
-    spark: SparkSession, accepted: DataFrame, base: str, batch_id: int, config: RuleConfig
+    spark: SparkSession, accepted: DataFrame, base: str, batch_id: int, config: RuleConfig, highest: int | None
 ) -> None:
     """Side output of readings behind every open window, judged against the run's batches before.
 
-    The ledger holds one number per batch: the highest event time up to and including it.
+    The ledger holds one number per batch: the highest event time up to and including it; ``highest`` is the
+    batch's own, taken in the pass that wrote it.
     """
     previous = _ledger(spark, base, batch_id - 1)
     name = batch_name(spark, batch_id)
     late = accepted.filter(flag_late(F.lit(previous).cast("long"), config))
     late.select(*STORED).write.mode("overwrite").parquet(f"{base}/late/batch={name}")
-    highest = accepted.agg(F.max(epoch_ms("observed_at")).alias("max_ms")).select(
-        F.greatest("max_ms", F.lit(previous).cast("long")).alias("max_ms")
-    )
-    highest.coalesce(1).write.mode("overwrite").parquet(f"{base}/ledger/batch={name}")
+    upto = max((ms for ms in (highest, previous) if ms is not None), default=None)
+    spark.createDataFrame([(upto,)], "max_ms long").coalesce(1).write.mode("overwrite").parquet(f"{base}/ledger/batch={name}")
 
 
 def _ledger(spark: SparkSession, base: str, batch_id: int) -> int | None:
@@ -287,11 +323,11 @@ def persistence_sink(
             undecodable.write.mode("overwrite").parquet(f"{base}/alert_quarantine/{part}")
             asked.filter(~F.col("sound")).select("seq", "value").write.mode("overwrite").parquet(
                 f"{base}/command_quarantine/{part}")
-            turned_away = table.apply(
+            table.apply(
                 batch_id, events, stations(), asked.filter("sound").select("c.*", "seq"),
                 lambda verdicts: verdicts.write.mode("overwrite").parquet(f"{base}/command_audit/{part}"),
                 run=name.rpartition("-")[0],
+                rejects=lambda events: events.write.mode("overwrite").parquet(f"{base}/alert_rejects/{part}"),
             )
-            turned_away.write.mode("overwrite").parquet(f"{base}/alert_rejects/{part}")
 
     return sink

@@ -128,12 +128,43 @@ class RunState(StatefulProcessor):
         pass
 
 
+class KnownStation(StatefulProcessor):
+    """Whether a station is registered; a row without a reading registers it."""
+
+    def init(self, handle) -> None:
+        self.registered = handle.getValueState("registered", "registered boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.registered.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known, waiting = self.registered.exists(), []
+        for row in rows:
+            if row.reading is None:
+                if not known:
+                    self.registered.update((True,))
+                known = True
+            elif known:
+                yield Row(reading=row.reading, known=True)
+            else:
+                # a registration may still follow
+                waiting.append(row.reading)
+        for reading in waiting:
+            yield Row(reading=reading, known=known)
+
+    def close(self) -> None:
+        pass
+
+
 class FirstArrival(StatefulProcessor):
     """Whether an event id was taken: the first arrival ever wins, state holds the id only."""
 
     def init(self, handle) -> None:
         self.taken = handle.getValueState("taken", "taken boolean")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.taken.update((True,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = None
         for row in rows:
