@@ -212,10 +212,13 @@ def test_collocations(spark):
     assert sorted(map(tuple, few.collect())) == phrase_model(docs, 3, 80, 7)
 
 
-def test_collocations_dealt_further(spark, monkeypatch):
+def test_collocations_dealt_further(spark, monkeypatch, request):
     docs = phrase_docs()
-    monkeypatch.setattr(co, "frequent_nodes", lambda docs: {"hot pair\t\tfr", "w0 w0\t\ten", "c5 c6\t\ten"})
+    monkeypatch.setattr(co, "frequent_nodes", lambda docs: {"hot pair\tfr", "w0 w0\ten", "c5 c6\ten"})
     monkeypatch.setattr(co, "HELD", 300)
+    monkeypatch.setattr(co, "TOGETHER", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
     monkeypatch.setattr(co, "PATH_EDGES", 16)
     found = co.collocations(spark.createDataFrame(docs, "text string, lang string"))
     assert sorted(map(tuple, found.collect())) == phrase_model(docs)
@@ -242,4 +245,4 @@ def test_collocations_of_no_rows(spark):
 
 def test_frequent_nodes(spark):
     docs = spark.createDataFrame([(f"hot pair {i}", "en") for i in range(300)], "text string, group string")
-    assert "hot pair\t\ten" in co.frequent_nodes(docs) and len(co.frequent_nodes(docs)) < 2000
+    assert "hot pair\ten" in co.frequent_nodes(docs) and len(co.frequent_nodes(docs)) < 2000

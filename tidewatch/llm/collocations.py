@@ -35,7 +35,9 @@ LEAST, HIDDEN, TOP = 10, 50, 2000
 UNKNOWN = "und"
 PIECE_END = re.compile("[.,;:!?\x0A-\x0D]")
 #: words a task holds before it counts them
-HELD = 3_000_000
+HELD = 2_000_000
+#: sorted rows a task looks at together
+TOGETHER = 200_000
 #: texts looked at for frequent nodes, how many of those are dealt further, and to how many shares
 SAMPLE, FREQUENT, SALTS = 10_000, 2000, 64
 #: edges of a path in one row
@@ -77,36 +79,35 @@ class Grams:
         self.size += len(words)
 
     def counts(self) -> Iterator[pa.RecordBatch]:
-        """``node, third, n`` of what is held, which is let go."""
+        """``node, thirds, n`` of what is held, which is let go."""
         words, many = pa.array(self.number, pa.string()), len(self.number)
         for group, held in self.held.items():
             flat = np.concatenate(held)
-            if not len(flat):
-                continue
             starts = flat[:-2] > 0
+            if not starts.any():
+                continue
             pairs, at = np.unique((flat[:-2] * many + flat[1:-1])[starts], return_inverse=True)
             runs, n = np.unique(at * many + flat[2:][starts], return_counts=True)
             pair, third = np.divmod(runs, many)
             first, second = np.divmod(pairs, many)
             both = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second)), " ")
             nodes = pc.if_else(pa.array(second > 0), both, words.take(pa.array(first)))
-            keys = pc.binary_join_element_wise(nodes, "", group, "\t")
-            hot = pc.is_in(keys, pa.array(self.hot, pa.string())).to_numpy(zero_copy_only=False)
-            thirds = words.take(pa.array(third))
-            node = keys.take(pa.array(pair))
-            dealt = np.flatnonzero(hot[pair])
-            if len(dealt):
-                salted = [f"{x[0]}\t{zlib.crc32(y.encode()) % SALTS}\t{group}" for x, y in zip(
-                    (k.split("\t", 1) for k in node.take(pa.array(dealt)).to_pylist()), thirds.take(pa.array(dealt)).to_pylist())]
-                node = pc.replace_with_mask(node, pa.array(hot[pair]), pa.array(salted, pa.string()))
+            keys = pc.binary_join_element_wise(nodes, group, "\t")
+            node, thirds = keys.take(pa.array(pair)), words.take(pa.array(third))
+            hot = pc.is_in(keys, pa.array(self.hot, pa.string())).to_numpy(zero_copy_only=False)[pair]
+            if hot.any():
+                some = pa.array(np.flatnonzero(hot))
+                salted = [f"\t{zlib.crc32(w.encode()) % SALTS}\t{k}"
+                          for k, w in zip(node.take(some).to_pylist(), thirds.take(some).to_pylist())]
+                node = pc.replace_with_mask(node, pa.array(hot), pa.array(salted, pa.string()))
             yield pa.RecordBatch.from_arrays([node, thirds, pa.array(n)], ["node", "third", "n"])
         self.clear()
 
 
 def counted(docs: DataFrame, hot: set[str]) -> DataFrame:
-    """``node, third, n`` of ``docs(group, text)``, counted within tasks: occurrences by pair and third word; a third
-    of ``""`` is the end of a piece, and a node of one word its last one. The node carries its group,
-    ``words<tab>salt<tab>group``; those in ``hot`` have the third word's salt."""
+    """``node, third, n`` of ``docs(group, text)``, counted within tasks: occurrences by pair and third word; an empty
+    third is the end of a piece, and a node of one word its last one. The node carries its group, ``words<tab>group``;
+    of those in ``hot`` each share of the third words is a node of its own, ``<tab>share<tab>words<tab>group``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(hot)
         for batch in batches:
@@ -119,6 +120,84 @@ def counted(docs: DataFrame, hot: set[str]) -> DataFrame:
     return docs.mapInArrow(run, "node string, third string, n long")
 
 
+def first_words(nodes: pa.Array) -> pa.Array:
+    """``word<tab>group`` of each node: what stands between its first word and its group is left out."""
+    nodes = pa.concat_arrays([nodes])  # from its own start on
+    data = np.frombuffer(nodes.buffers()[2], np.uint8)
+    ends = np.frombuffer(nodes.buffers()[1], np.int32)[:len(nodes) + 1].astype(np.int64)
+    data = data[:ends[-1]]
+    tabs = np.flatnonzero(data == 9)
+    either = np.flatnonzero((data == 9) | (data == 32))
+    tab = tabs[np.searchsorted(tabs, ends[:-1])]
+    word = either[np.searchsorted(either, ends[:-1])]
+    change = np.zeros(len(data) + 1, np.int8)
+    np.add.at(change, word, -1)
+    np.add.at(change, tab, 1)
+    kept = data[np.cumsum(change[:-1]) == 0]
+    offsets = ends - np.concatenate([[0], np.cumsum(tab - word)])
+    return pa.StringArray.from_buffers(len(nodes), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(kept))
+
+
+def changes(*columns: pa.Array) -> np.ndarray:
+    """Whether each row differs from the one before it in any column; the first one does."""
+    differs = np.ones(len(columns[0]), bool)
+    differs[1:] = np.logical_or.reduce([
+        pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in columns])
+    return differs
+
+
+class Runs:
+    """Edges, nodes and word sums out of rows that come sorted by node and third word.
+
+    Of the last node only its flow so far and its last third word are carried to the rows that follow.
+    """
+
+    def __init__(self, least: int):
+        self.least = least
+        self.last, self.flow = None, 0
+
+    def out(self, rows: pa.Table | None) -> pa.RecordBatch:
+        """What is complete with ``rows``, or at the end of all rows."""
+        if self.last is not None:
+            rows = self.last if rows is None else pa.concat_tables([self.last, rows])
+        final = rows is self.last
+        node, third, n = (rows.column(c).combine_chunks() for c in ("node", "third", "n"))
+        n = n.to_numpy()
+        starts = np.flatnonzero(changes(node, third))
+        weight = np.add.reduceat(n, starts)
+        node, third = node.take(pa.array(starts)), third.take(pa.array(starts))
+        heads = np.flatnonzero(changes(node))
+        flow = np.add.reduceat(weight, heads)
+        flow[0] += self.flow
+        ready = len(weight) if final else len(weight) - 1
+        whole = len(heads) if final else len(heads) - 1
+        edge = np.flatnonzero((weight[:ready] >= self.least) & pc.not_equal(third, "").to_numpy(zero_copy_only=False)[:ready])
+        own = node.take(pa.array(heads[:whole]))
+        shared = pc.starts_with(own, "\t").to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero((flow[:whole] >= self.least) | shared)
+        # shares go without their number from here on
+        plain = pc.replace_substring_regex(own.filter(pa.array(shared)), r"^\t\d+\t", "")
+        own = pc.replace_with_mask(own, pa.array(shared), plain)
+        firsts = first_words(own) if whole else pa.array([], pa.string())
+        runs = np.flatnonzero(changes(firsts)) if whole else np.empty(0, np.int64)
+        sums = np.add.reduceat(flow[:whole], runs) if whole else flow[:0]
+        parts = [
+            ("edge", pc.replace_substring_regex(node.take(pa.array(edge)), r"^\t\d+\t", ""), third.take(pa.array(edge)), weight[edge]),
+            ("node", own.take(pa.array(kept)), None, flow[kept]),
+            ("word", firsts.take(pa.array(runs)), None, sums),
+        ]
+        if not final:
+            # complete third words of the last node are counted into its flow, its last one may go on
+            self.flow = int(flow[-1] - weight[-1])
+            self.last = pa.table({"node": node.slice(len(node) - 1), "third": third.slice(len(third) - 1), "n": weight[-1:]})
+        return pa.RecordBatch.from_arrays([
+            pa.array([k for k, key, _, _ in parts for _ in range(len(key))], pa.string()),
+            pa.concat_arrays([key for _, key, _, _ in parts]),
+            pa.concat_arrays([pa.nulls(len(key), pa.string()) if t is None else t for _, key, t, _ in parts]),
+            pa.array(np.concatenate([x for *_, x in parts])),
+        ], ["kind", "key", "third", "n"])
+
+
 def frequent_nodes(docs: DataFrame) -> set[str]:
     """The most frequent nodes of a sample of bounded size. They only tell where rows are dealt further."""
     some = docs.sample(min(1.0, SAMPLE / max(docs.count(), 1)), seed=1)
@@ -129,26 +208,27 @@ def frequent_nodes(docs: DataFrame) -> set[str]:
 def graph(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges of at least ``least`` (``grp, source, target, weight``), all nodes with that flow (``grp, node, flow``)
     and words with that count (``grp, word, count``, with ``n`` of the group)."""
-    grams = counted(docs, frequent_nodes(docs)).repartition("node").groupBy("node", "third").agg(F.sum("n").alias("n"))
-    flows = grams.groupBy("node").agg(F.sum("n").alias("n"))
-    split = F.split("node", "\t", 3)
-    words, salt, group = split[0], split[1], split[2]
-    many = words.contains(" ")
-
-    def rows(df: DataFrame, kind: str, third: Column) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), group.alias("grp"), words.alias("words"), third.alias("third"), "n")
-
-    none = F.lit(None).cast("string")
-    # each condition holds a count, or it would be moved below the shuffle, which then served one branch only
-    edges = rows(grams.where(F.when(F.col("third") != "", F.col("n")) >= least), "edge", F.col("third"))
-    nodes = rows(flows.where(F.when(many, F.when(salt != "", F.lit(least)).otherwise(F.col("n"))) >= least), "node", none)
-    # flows of the nodes that begin with a word, and the pieces that end with it
-    single = flows.groupBy(group.alias("grp"), F.substring_index(words, " ", 1).alias("words")).agg(F.sum("n").alias("n"))
-    single = single.select(F.lit("word").alias("kind"), "grp", "words", none.alias("third"), "n")
-    found = materialize(edges.unionByName(nodes).unionByName(single), "graph")
-    # a salted node's flow comes in several rows
-    nodes = found.where("kind = 'node'").groupBy("grp", F.col("words").alias("node")).agg(F.sum("n").alias("flow"))
-    words = found.where("kind = 'word'").select("grp", F.col("words").alias("word"), F.col("n").alias("count"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, held = Runs(least), []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER:
+                yield runs.out(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield runs.out(pa.Table.from_batches(held))
+        if runs.last is not None:
+            yield runs.out(None)
+
+    # in order, so that a task holds one node at a time
+    grams = counted(docs, frequent_nodes(docs)).repartition("node").sortWithinPartitions("node", "third")
+    found = materialize(grams.mapInArrow(run, "kind string, key string, third string, n long"), "graph")
+    split = F.split("key", "\t", 2)
+    found = found.select("kind", split[1].alias("grp"), split[0].alias("words"), "third", "n")
+    # the flow of a node in shares comes in several rows; a node of one word is the end of pieces
+    nodes = found.where("kind = 'node' AND words LIKE '% %'").groupBy("grp", F.col("words").alias("node")).agg(F.sum("n").alias("flow"))
+    words = found.where("kind = 'word'").groupBy("grp", F.col("words").alias("word")).agg(F.sum("n").alias("count"))
+    words = materialize(words, "counts")
     sizes = words.groupBy("grp").agg(F.sum("count").alias("n"))
     words = words.where(F.col("count") >= least).join(materialize(sizes, "sizes"), "grp")
     target = F.concat(F.substring_index("words", " ", -1), F.lit(" "), F.col("third"))
