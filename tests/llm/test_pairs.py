@@ -162,3 +162,19 @@ def test_simhash_null_ids_and_empty_table(spark):
     found = simhash.near_duplicates(spark.createDataFrame([(None, "a b c", "", 0), (4, "a b c", "", 0), (4, "a b c", "", 0)], DOCS), 3, 3)
     assert sorted((r.doc_id or 0, r.component_id) for r in found.collect()) == [(0, 4), (4, 4), (4, 4)]
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS), 3, 3).count() == 0
+
+
+def test_one_row_of_every_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    near = text.replace("w100", "other")
+    rows = [(7, text, "a"), (3, near, "b"), (None, text, "c"), (9, "own words stand here", "d"), (9, "other words of the same id", "e"),
+            (None, "without an id", "f"), (None, "without an id", "g"), (None, None, "h"), (None, "", "i"), (5, " ", "j")]
+    rows += [(11, "repeated row in full", "k")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string").withColumn("row", F.lit(1)).repartition(4)
+    kept = simhash.representatives(docs, 3, 3)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text or "", r.doc) for r in kept.collect())
+    assert [x[:2] for x in found] == sorted([
+        (3, near), (9, "own words stand here"), (9, "other words of the same id"), (0, "without an id"), (5, " "),
+        (11, "repeated row in full")])
+    assert simhash.representatives(docs.limit(0), 3, 3).isEmpty()

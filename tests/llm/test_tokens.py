@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewatch.llm import bpe, packing, token_store
+from tidewatch.llm import bpe, encoding, packing, pieces, token_store
 from tidewatch.llm.encoding import library_encoder
 from tidewatch.session import shared_dir
 
@@ -175,3 +175,49 @@ def test_digest_of_the_decoded_text_is_that_of_the_text(spark):
     text = "Ünïcode and <|endoftext|> 漢字"
     row = bpe.encode_decode(spark.createDataFrame([(1, text, "", 0, 0)], SCHEMA), BYTE).first()
     assert hashlib.sha256(row.decoded.encode()).digest() == hashlib.sha256(text.encode()).digest()
+
+
+def split_up(ids, size):
+    return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+
+
+def encoders(path):
+    return [library_encoder(path), *([bpe.byte_bpe(path).encoder] if path == BYTE else [])]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("length", [1024, 2048, 4096])
+def test_words_of_two_letters_in_regular_order(path, length):
+    """Thue-Morse words and their opposites collide under every hash that is a polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate({97: "b", 98: "a"})
+    texts = [word, word.translate({97: "b", 98: "a"}), f"{word} {word[::-1]}"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for encode in encoders(path):
+        assert split_up(*encode(texts)) == want and split_up(*encode(texts[1:])) == want[1:]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_that_share_a_hash(path, monkeypatch):
+    """With a hash of seven values nearly every piece meets another one, within a batch and across batches."""
+    def colliding(texts, spaced):
+        found = pieces.split(texts, spaced)
+        found.hashes = found.hashes % np.uint64(7)
+        return found
+
+    monkeypatch.setattr(encoding, "split", colliding)
+    texts = [t or "" for t in odd_texts(80)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for encode in encoders(path):
+        monkeypatch.setattr(encode, "known", encoding.PieceIds(encode.known.encode))
+        for _ in range(2):
+            assert split_up(*encode(texts)) == want
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_code_point_between_letters(path):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b {chr(c)} " for c in points[k:k + 512]) for k in range(0, len(points), 512)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert split_up(*library_encoder(path)(texts)) == want

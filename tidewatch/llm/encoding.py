@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-from tidewatch.llm.pieces import gather, split
+from tidewatch.llm.pieces import Pieces, equal, gather, split
 
 #: Characters of text handled as one array.
 BLOCK_CHARS = 2_000_000
@@ -22,7 +22,7 @@ Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 class PieceIds:
-    """Ids of known pieces by piece hash, as flat arrays sorted by hash."""
+    """Ids and code points of known pieces, as flat arrays sorted by piece hash."""
 
     def __init__(self, encode: Encode, limit: int = REMEMBERED):
         self.encode, self.limit = encode, limit
@@ -33,32 +33,48 @@ class PieceIds:
         self.first = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
         self.flat = np.empty(0, np.int32)
+        self.text_first = np.empty(0, np.int64)
+        self.text_size = np.empty(0, np.int64)
+        self.text = np.empty(0, np.uint32)
 
-    def rows(self, hashes: np.ndarray, texts: Callable[[np.ndarray], list[str]], sample: np.ndarray) -> np.ndarray:
-        """Positions in the tables of the sorted distinct ``hashes``; ``sample``: a piece of each."""
+    def rows(self, hashes: np.ndarray, pieces: Pieces, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the tables of the sorted distinct ``hashes``, and whether what stands there is the piece
+        ``sample`` has for it, and no other one of the same hash."""
         at = np.searchsorted(self.hashes, hashes)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == hashes[known]
-        if known.all():
-            return at
-        if len(self.hashes) > self.limit:
-            self.clear()
-            known[:] = False
-        missing = np.flatnonzero(~known)
-        flat, size = self.encode(texts(sample[missing]))
-        where = np.searchsorted(self.hashes, hashes[missing])
-        self.first = np.insert(self.first, where, len(self.flat) + np.cumsum(size) - size)
-        self.size = np.insert(self.size, where, size)
-        self.hashes = np.insert(self.hashes, where, hashes[missing])
-        self.flat = np.concatenate([self.flat, flat])
-        return np.searchsorted(self.hashes, hashes)
+        if not known.all():
+            if len(self.hashes) > self.limit:
+                self.clear()
+                known[:] = False
+            missing = np.flatnonzero(~known)
+            new = sample[missing]
+            flat, size = self.encode(pieces.texts(new))
+            where = np.searchsorted(self.hashes, hashes[missing])
+            self.first = np.insert(self.first, where, len(self.flat) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, where, size)
+            self.flat = np.concatenate([self.flat, flat])
+            length = pieces.lengths[new]
+            self.text_first = np.insert(self.text_first, where, len(self.text) + np.cumsum(length) - length)
+            self.text_size = np.insert(self.text_size, where, length)
+            self.text = np.concatenate([self.text, gather(pieces.points, pieces.starts[new], length)])
+            self.hashes = np.insert(self.hashes, where, hashes[missing])
+            at = np.searchsorted(self.hashes, hashes)
+        return at, equal(self.text, self.text_first[at], self.text_size[at],
+                         pieces.points, pieces.starts[sample], pieces.lengths[sample])
 
 
 class TextEncoder:
-    """Ids of whole texts, equal to the tokenizer's own ``encode(..., add_special_tokens=False)``."""
+    """Ids of whole texts, equal to the tokenizer's own ``encode(..., add_special_tokens=False)``.
 
-    def __init__(self, spaced: bool, encode: Encode, special: dict[str, int], normalise=None):
+    ``odd``: characters that ``normalise`` may treat otherwise than the tokenizer does; a text that holds one goes to
+    ``whole``, the tokenizer itself.
+    """
+
+    def __init__(self, spaced: bool, encode: Encode, special: dict[str, int], normalise=None,
+                 odd: re.Pattern | None = None, whole: Encode | None = None):
         self.spaced, self.normalise, self.special = spaced, normalise, special
+        self.odd, self.whole = odd, whole
         self.known = PieceIds(encode)
         self.cut = re.compile("|".join(map(re.escape, special)))
 
@@ -69,15 +85,39 @@ class TextEncoder:
         if not len(pieces.hashes):
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         hashes, sample, inverse = np.unique(pieces.hashes, return_index=True, return_inverse=True)
-        row = self.known.rows(hashes, pieces.texts, sample)[inverse]
-        size = self.known.size[row]
-        ids = gather(self.known.flat, self.known.first[row], size)
+        row, right = self.known.rows(hashes, pieces, sample)
+        first, size, flat = self.known.first[row][inverse], self.known.size[row][inverse], self.known.flat
+        other = np.flatnonzero(~(right[inverse] & pieces.same(np.arange(len(inverse)), sample[inverse])))
+        if len(other):
+            # pieces that share a hash with another piece are encoded each for itself
+            more, count = self.known.encode(pieces.texts(other))
+            first[other], size[other] = len(flat) + np.cumsum(count) - count, count
+            flat = np.concatenate([flat, more])
+        ids = gather(flat, first, size)
         upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(pieces.counts)])]
         return ids, np.diff(upto)
 
+    def _mixed(self, texts: list[str], odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of which those at ``odd`` go to the tokenizer itself."""
+        chosen = np.zeros(len(texts), bool)
+        chosen[odd] = True
+        size = np.zeros(len(texts), np.int64)
+        parts: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        for which, encode in ((~chosen, self), (chosen, self.whole)):
+            at = np.flatnonzero(which)
+            if len(at):
+                ids, size[at] = encode([texts[i] for i in at])
+                for i, part in zip(at, np.split(ids, np.cumsum(size[at])[:-1])):
+                    parts[i] = part
+        return np.concatenate(parts), size
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array, and the number of ids of each text. Texts naming a special token
         are cut there, as the tokenizer does."""
+        if self.odd is not None:
+            odd = [i for i, t in enumerate(texts) if not t.isascii() and self.odd.search(t)]
+            if odd:
+                return self._mixed(texts, odd)
         parts, whose, marks = [], [], []
         for i, text in enumerate(texts):
             if "<|" in text and self.cut.search(text):
@@ -104,6 +144,19 @@ def lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def odd_letters(normalise: Callable[[str], str]) -> re.Pattern | None:
+    """Characters that ``normalise`` and ``lowered`` treat differently between letters: those of which one of them
+    knows a later edition of Unicode."""
+    # cased letters lie in the first two planes
+    points = [c for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    points.remove(ord("\u2502"))  # it stands between the others, and has no case
+    lines = "\u2502".join(f"a{chr(c)}a" for c in points)
+    pairs = zip(points, normalise(lines).split("\u2502"), lowered(lines).split("\u2502"), strict=True)
+    # white space of any kind is told apart by its class
+    odd = [chr(c) for c, a, b in pairs if a != b and a != "a a"]
+    return re.compile(f"[{re.escape(''.join(odd))}]") if odd else None
+
+
 @functools.cache
 def library_encoder(path: str) -> TextEncoder:
     """An encoder whose pieces are encoded by the tokenizers library."""
@@ -140,7 +193,9 @@ def library_encoder(path: str) -> TextEncoder:
             size = np.diff(np.flatnonzero(last[ids]), prepend=-1)
         return (ids, size) if len(size) == len(words) and size.sum() == len(ids) else each(words)
 
-    return TextEncoder(spaced, encode, special, None if spaced else lowered)
+    if spaced:
+        return TextEncoder(spaced, encode, special)
+    return TextEncoder(spaced, encode, special, lowered, odd_letters(tokenizer.normalizer.normalize_str), each)
 
 
 def blocks(texts: Iterable[str | None], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:

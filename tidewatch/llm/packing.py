@@ -130,7 +130,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_
     dealt = pieces(docs, tokenizer, end_id, capacity, id_column, text_column).withColumn(
         "group", F.pmod(F.xxhash64("id", "piece", "ids"), F.lit(groups)))
     out = (
-        dealt.repartition(groups, "group")
+        # by number, not by its hash: every group is a task of its own
+        dealt.repartitionById(groups, F.col("group").cast("int"))
         .sortWithinPartitions("group", F.desc("length"), "id", "piece")
         .mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
     )

@@ -3,7 +3,8 @@
 Both tokenizers cut a text into pieces (a word with its leading space, a run of digits, ...) and then
 encode every piece on its own. A batch of texts is handled as one array of code points: classes come
 from a table, piece starts from comparisons with neighbours, and a 64-bit hash per piece from one
-segmented sum, so that each distinct piece has to be looked at only once per batch.
+segmented sum, so that each distinct piece has to be looked at only once per batch. A hash finds candidates; pieces
+are the same only if their code points are, which ``Pieces.same`` compares.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ def classes() -> np.ndarray:
 
 
 @functools.cache
-def powers() -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+def factors() -> np.ndarray:
+    """A fixed random odd number for every place in a piece. Powers of one number would let texts made of two letters
+    in a regular order collide."""
+    drawn = np.random.default_rng(0x7157).integers(0, 1 << 63, LONGEST, np.uint64)
+    return (drawn << np.uint64(1)) | np.uint64(1)
 
 
 def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -51,6 +54,19 @@ def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.arange(total) + np.repeat(first - ends + size, size)]
 
 
+def equal(a: np.ndarray, first_a: np.ndarray, size_a: np.ndarray,
+          b: np.ndarray, first_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether segment i of ``a`` equals segment i of ``b``; segments are not empty."""
+    found = size_a == size_b
+    # a segment beside itself needs no look
+    at = np.flatnonzero(found & ((first_a != first_b) | (a is not b)))
+    if len(at):
+        size = size_a[at]
+        alike = gather(a, first_a[at], size) == gather(b, first_b[at], size)
+        found[at] = np.logical_and.reduceat(alike, np.cumsum(size) - size)
+    return found
+
+
 @dataclass
 class Pieces:
     """Pieces of a batch of texts: ``points[starts[i]:starts[i] + lengths[i]]``, in text order."""
@@ -62,6 +78,10 @@ class Pieces:
     #: number of pieces of each text
     counts: np.ndarray
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece ``a[i]`` has the code points of piece ``b[i]``."""
+        return equal(self.points, self.starts[a], self.lengths[a], self.points, self.starts[b], self.lengths[b])
+
     def texts(self, which: np.ndarray) -> list[str]:
         ends = np.cumsum(self.lengths[which])
         text = gather(self.points, self.starts[which], self.lengths[which]).tobytes().decode("utf-32-le")
@@ -115,7 +135,7 @@ def split(texts: Sequence[str], spaced: bool) -> Pieces:
         inside = np.arange(len(points)) - np.repeat(starts, lengths)
         mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(29)
-        mixed *= powers()[inside & (LONGEST - 1)] + (inside >> 16).astype(np.uint64) * np.uint64(2)
+        mixed *= factors()[inside & (LONGEST - 1)] + (inside >> 16).astype(np.uint64) * np.uint64(2)
         hashes = np.add.reduceat(mixed, starts)
     first = kind[starts]
     keep = first != EDGE

@@ -2,8 +2,9 @@
 
 Every historical version of every path is addressed by the SHA-256 of its contents. Of the versions that share
 a blob one is read, and only for the rules, named by kind and version, under which the blob was not scanned
-before. Findings are kept per blob and joined back to all paths. Everything is a DataFrame expression: a rule's
-spans follow from the lengths of the matches and of the text between them.
+before; both stand in the ledger, a table of blob, rule version and spans. Findings are kept per blob and joined back
+to all paths, those of the rules now in force. Everything is a DataFrame expression: a rule's spans follow from the
+lengths of the matches and of the text between them.
 
 Texts move once, by blob and path, so that neither copies of one blob nor versions of one path meet in one
 task; joins of paths with findings have one row per blob on the other side.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.storage import materialize
@@ -47,57 +48,56 @@ ADDED = (
 )
 RULES = BASE + ADDED
 SPAN = "struct<start:int,rule:int,end:int>"
+FOUND = "array<struct<start:int,end:int>>"
+LEDGER = f"blob binary, rule_version string, spans {FOUND}"
+#: characters of a text that are cut off at once when it is put together again
+CUT = 1024
 
 
-def rule_spans(text: Column, rule: Rule, number: int) -> Column:
-    """Spans of one rule in code points, end exclusive, as ``start, rule, end``."""
-    pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
+def match_lengths(text: Column, rule: Rule) -> Column:
+    """Per match of a rule: characters ahead of it since the last one, its own, and whether it counts."""
+    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
+    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
     parts = F.zip_with(
-        F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("match")), values,
-        lambda x, v: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("match"), F.length(v).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+        F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), values,
+        lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), (F.length(v) >= rule.least).alias("counts")))
+    return F.when(text.rlike(rule.pattern), parts)
 
-    def step(s: Column, x: Column) -> Column:
-        begin, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["match"]
-        span = F.struct(begin.alias("start"), F.lit(number).alias("rule"), end.alias("end"))
-        # the text behind the last match has no match beside it
-        return F.struct(
-            F.coalesce(end, begin).alias("at"),
-            F.when(x["value"] >= rule.least, F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step, lambda s: s["found"]))
-
-
-def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFrame | None = None,
+def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None,
          path_column: str = "path", text_column: str = "text") -> DataFrame:
-    """Newly scanned pairs of blob and rule: ``blob, rule_version, spans``, one row for each, findings or not.
+    """Newly scanned pairs of blob and rule version, findings or not: ``blob, rule_version, spans`` (code points, end
+    exclusive, in order).
 
-    ``seen``: pairs ``blob, rule_version`` scanned earlier, as returned by earlier calls. A null text is the
-    empty one; a null path is a path of its own; repeated versions are one blob.
+    ``ledger``: what earlier calls returned. A null text is the empty one; a null path is a path of its own;
+    repeated versions are one blob. Spans are running sums of lengths over the matches of a blob and rule.
     """
     rows = addressed(versions, path_column, text_column)
     key = F.xxhash64("path")
     todo = rows.groupBy("blob").agg(F.min(key).alias("key"))
-    every = F.array(*[F.lit(r.version) for r in rules])
-    if seen is not None:
-        known = seen.groupBy("blob").agg(F.collect_set("rule_version").alias("known"))
-        todo = todo.join(known, "blob", "left").withColumn(
-            "due", F.array_except(every, F.coalesce("known", F.array().cast("array<string>")))).drop("known")
-        todo = todo.where(F.size("due") > 0)
-    else:
+    every = F.array(*[F.lit(v) for v in dict.fromkeys(r.version for r in rules)])
+    if ledger is None:
         todo = todo.withColumn("due", every)
+    else:
+        known = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("known"))
+        due = F.array_except(every, F.coalesce("known", F.array().cast("array<string>")))
+        todo = todo.join(known, "blob", "left").select("blob", "key", due.alias("due")).where(F.size("due") > 0)
     texts = rows.withColumn("key", key).join(todo, ["blob", "key"])
+    # a rule that stands twice is one version
     pairs = [
-        F.struct(F.lit(r.version).alias("rule_version"),
-                 F.when(F.array_contains("due", r.version), rule_spans(F.col("text"), r, i)).alias("spans"),
-                 F.array_contains("due", r.version).alias("due"))
-        for i, r in enumerate(rules)
+        F.when(F.array_contains("due", v), F.struct(F.lit(v).alias("rule_version"), match_lengths(F.col("text"), r).alias("parts")))
+        for v, r in {r.version: r for r in rules}.items()
     ]
-    scanned = texts.select("blob", F.explode(F.array(*pairs)).alias("pair")).where("pair.due").select(
-        "blob", "pair.rule_version", F.coalesce("pair.spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
-    return scanned.dropDuplicates(["blob", "rule_version"])
+    scanned = texts.select("blob", F.explode(F.array(*pairs)).alias("pair")).where("pair IS NOT NULL")
+    scanned = materialize(scanned.select("blob", "pair.*").dropDuplicates(["blob", "rule_version"]), "scanned")
+    pair = ["blob", "rule_version"]
+    upto = Window.partitionBy(*pair).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = scanned.where("parts IS NOT NULL").select(*pair, F.posexplode("parts").alias("at", "p")).withColumn(
+        "end", F.sum(F.col("p.gap") + F.col("p.size")).over(upto).cast("int"))
+    span = F.struct((F.col("end") - F.col("p.size")).alias("start"), "end")
+    some = ends.where("p.counts").groupBy(*pair).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return scanned.select(*pair).join(some, pair, "left").select(*pair, F.coalesce("spans", F.array().cast(FOUND)).alias("spans"))
 
 
 def addressed(versions: DataFrame, path_column: str, text_column: str) -> DataFrame:
@@ -106,36 +106,72 @@ def addressed(versions: DataFrame, path_column: str, text_column: str) -> DataFr
         "blob", F.unhex(F.sha2("text", 256)))
 
 
-def spans_by_blob(findings: DataFrame) -> DataFrame:
-    """``blob, spans``: all spans of every blob that has any, by start, then rule."""
-    some = findings.where(F.size("spans") > 0)
-    return some.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger in ``folder``, one row for each scanned pair; empty where none was written yet. A call that was
+    repeated after it had written leaves its pairs twice, with the same findings."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(folder).dropDuplicates(["blob", "rule_version"])
+
+
+def scan_into(folder: str, versions: DataFrame, rules: tuple[Rule, ...] = RULES,
+              path_column: str = "path", text_column: str = "text") -> DataFrame:
+    """Scan what the ledger in ``folder`` does not hold, add it there, and return the ledger."""
+    spark = versions.sparkSession
+    new = scan(versions, rules, read_ledger(spark, folder), path_column, text_column)
+    new.write.mode("append").parquet(folder)
+    return read_ledger(spark, folder)
 
 
-def secrets(versions: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFrame | None = None,
-            earlier: DataFrame | None = None, path_column: str = "path", text_column: str = "text") -> DataFrame:
+def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, spans``: all spans of every blob that has any under ``rules``, by start, then rule. What other versions
+    of rules found stays out, and a rule's number is its place in ``rules``."""
+    numbers = [(F.lit(r.version), F.lit(i)) for i, r in reversed(list(enumerate(rules)))]
+    number = F.coalesce(*[F.when(F.col("rule_version") == v, i) for v, i in numbers], F.lit(None).cast("int"))
+    some = findings.withColumn("number", number).where((F.size("spans") > 0) & F.col("number").isNotNull())
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("number").alias("rule"), s["end"].alias("end")))
+    return some.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
+
+
+def secrets(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None,
+            path_column: str = "path", text_column: str = "text") -> DataFrame:
     """Every version's path and ``spans`` (array of start, rule number, end; empty if none).
 
-    ``seen`` and ``earlier``: pairs scanned and findings kept by earlier calls. One row per row of ``versions``;
-    an empty table gives an empty result; other columns are not read.
+    ``ledger``: pairs scanned earlier; what it lacks is scanned here, what it holds of rules no longer in ``rules`` does
+    not count. One row per row of ``versions``; an empty table gives an empty result; other columns are not read.
     """
-    found = materialize(scan(versions, rules, seen, path_column, text_column), "findings")
-    if earlier is not None:
-        found = found.unionByName(earlier)
+    found = materialize(scan(versions, rules, ledger, path_column, text_column), "findings")
+    if ledger is not None:
+        found = found.unionByName(ledger)
+    return located(versions, found, rules, path_column, text_column)
+
+
+def located(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES,
+            path_column: str = "path", text_column: str = "text") -> DataFrame:
+    """Findings joined back to all versions: as ``secrets``, from a ledger that holds every pair already."""
     rows = addressed(versions, path_column, text_column).select("path", "blob")
-    return rows.join(spans_by_blob(found), "blob", "left").select(
+    return rows.join(spans_by_blob(findings, rules), "blob", "left").select(
         F.col("path").alias(path_column), F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def without_secrets(versions: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]",
                     path_column: str = "path", text_column: str = "text") -> DataFrame:
-    """``versions`` with every secret in the texts replaced by ``mask``; all rows and columns stay."""
+    """``versions`` with every secret in the texts replaced by ``mask``; all rows and columns stay. Spans that overlap
+    are replaced as one."""
     found = materialize(scan(versions, rules, None, path_column, text_column), "findings")
-    spans = spans_by_blob(found).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    each = found.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    along = Window.partitionBy("blob").orderBy("start", "end")
+    apart = F.coalesce(F.col("start") >= F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = each.withColumn("apart", apart).withColumn(
+        "run", F.sum(F.col("apart").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
-    joined = versions.join(spans, blob == F.col("_blob"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_column)).otherwise(masked(F.col(text_column), F.col("_spans"), mask))
-    return joined.select(*[text.alias(c) if c == text_column else F.col(c) for c in versions.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in versions.columns])
+    joined = versions.select(whole.alias("doc"), F.col(text_column).alias("text"), blob.alias("blob")).join(spans, "blob", "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("spans"), mask))
+    return joined.select(*[text.alias(c) if c == text_column else F.col(f"doc.`{c}`").alias(c) for c in versions.columns])
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -146,14 +182,23 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by ``mask``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        over = x["start"] < s["at"]
-        kept = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        return F.struct(F.when(over, s["out"]).otherwise(F.concat(s["out"], kept, F.lit(mask))).alias("out"),
-                        F.greatest(s["at"], x["end"]).alias("at"))
+    """The text with every one of ``spans``, which do not overlap, replaced by ``mask``.
 
-    return F.when(F.size(spans) > 0, F.aggregate(
-        spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))).otherwise(text)
+    The text is first cut into short strings, so that what lies between two spans costs its own length and not its
+    distance from the start.
+    """
+    last = F.length(text)
+    cuts = F.transform(F.sequence(F.lit(0), F.call_function("div", last, F.lit(CUT)).cast("int")),
+                       lambda i: F.substring(text, i * CUT + 1, F.lit(CUT)))
+
+    def between(parts: Column, start: Column, end: Column) -> Column:
+        first = F.call_function("div", start, F.lit(CUT)).cast("int")
+        count = F.call_function("div", end, F.lit(CUT)).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice(parts, first + 1, count), ""), start % CUT + 1, end - start)
+
+    ends = F.concat(F.array(F.lit(0)), spans["end"])
+    starts = F.concat(spans["start"], F.array(last))
+    # the one-element array gives the cuts a name, so that they are made once and not for every span
+    joined = F.transform(F.array(cuts), lambda parts: F.array_join(F.zip_with(
+        ends, starts, lambda a, b: between(parts, a, b)), mask))
+    return F.element_at(joined, 1)

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewatch.llm.components import components
 from tidewatch.llm.encoding import blocks
@@ -78,6 +79,19 @@ def fingerprints(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_
     return slim.mapInArrow(run, f"id {kind}, fingerprint long")
 
 
+def with_fingerprints(docs: DataFrame, shingle: int, text_column: str = "text") -> DataFrame:
+    """``doc`` (all columns of a row) and its ``fingerprint``."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_column).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprints_of(texts, shingle) for texts in blocks(batch.column(1).to_pylist())]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], ["doc", "fingerprint"])
+
+    return whole.mapInArrow(run, StructType([whole.schema["doc"], StructField("fingerprint", LongType())]))
+
+
 def links(prints: DataFrame, max_bits: int, segments: int = 2) -> DataFrame:
     """Each pair ``a, b`` of distinct values of ``prints.fingerprint`` within ``max_bits`` bits, once."""
     width, radius = -(-64 // segments), max_bits // segments
@@ -134,3 +148,25 @@ def near_duplicates(docs: DataFrame, shingle: int, max_bits: int, segments: int
     of = named.join(smallest, "component").select("fingerprint", "component_id")
     return rows.join(of, "fingerprint").select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int, max_bits: int, segments: int = 2,
+                    id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of every group that links of at most ``max_bits`` differing bits connect, with all its columns.
+
+    The row with the smallest id stays, rows without an id only where no other has one; ties go by a hash of the
+    text, then by where rows stand, so of rows that are equal exactly one stays. An empty table gives an empty result.
+    """
+    rows = with_fingerprints(docs, shingle, text_column).withColumn("row", F.monotonically_increasing_id())
+    # written before it is read twice: the row number has to stay what it is
+    rows = materialize(rows, "fingerprints")
+    prints = rows.select("fingerprint").distinct()
+    group = components(links(materialize(prints, "prints"), max_bits, segments))
+    group = group.select(F.col("node").alias("fingerprint"), "component")
+    value = F.col(f"doc.`{id_column}`")
+    order = F.struct(value.isNull().alias("last"), value.alias("id"), F.xxhash64(F.col(f"doc.`{text_column}`")).alias("text"), "row")
+    first = rows.select("fingerprint", order.alias("order")).groupBy("fingerprint").agg(F.min("order").alias("order"))
+    first = first.join(group, "fingerprint", "left").groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(
+        F.min("order").alias("order"))
+    kept = materialize(first.select("order.row"), "kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

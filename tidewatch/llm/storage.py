@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch import session
 
-_written: list[str] = []
+_records: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; see ``release``."""
+    """``df`` written once to the shared folder and read back; see ``recorded``."""
     stored = session.materialize(df, name)
-    _written.extend(folder_of(stored))
+    for record in _records:
+        record.extend(folder_of(stored))
     return stored
 
 
@@ -22,13 +25,24 @@ def folder_of(stored: DataFrame) -> list[str]:
     return sorted({f.rpartition("/")[0] for f in stored.inputFiles()})
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every table written so far; only for callers whose earlier results are all written out."""
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders written within the block, and no others, for ``remove``."""
+    record: list[str] = []
+    _records.append(record)
+    try:
+        yield record
+    finally:
+        # by identity: lists that hold the same are equal
+        _records[:] = [r for r in _records if r is not record]
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders of the shared folder, once what was made from them is written."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in _written:
+    for folder in folders:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(hadoop).delete(path, True)
-    _written.clear()
 
 
 def settle(spark: SparkSession) -> None:
