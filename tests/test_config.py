@@ -40,3 +40,17 @@ def test_nan_unparsable_and_oversized_slide_fail():
 
 def test_size_need_not_be_a_multiple_of_slide():
     assert RuleConfig(rising_window_min=10, rising_slide_min=4).rising_slide_ms == 240_000
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from tidewatch.session import shared_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.rpartition(".")[2], d)), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("local[8]", dir="file:/w")) == "file:/w"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))

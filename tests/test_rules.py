@@ -16,7 +16,7 @@ from tidewatch.operators.rising import _split_by_clock, late_readings, rising_ca
 from tidewatch.operators.rules import threshold_candidates
 from tidewatch.operators.spike import lead_ins, spike_baseline, spike_candidates, spikes
 from tidewatch.operators.stale import last_observed, stale_candidates, stale_gaps
-from tidewatch.operators.suppression import suppress
+from tidewatch.operators.suppression import OPEN_RUNS, alert_events_of, runs_left_open, suppress, tracked_runs
 
 
 # ---- thresholds
@@ -392,3 +392,19 @@ def test_suppression_matches_sequential_model(spark, config, chunk):
         assert (ms_of_naive(r.triggered_at), r.repeat_count) == (triggered, count)
         assert first_of.setdefault(r.id, (r.station_id, r.rule_code, first)) == (r.station_id, r.rule_code, first)
     assert len(set(first_of.values())) == len(first_of)
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_suppression_from_batch_to_batch(spark, config, chunk):
+    """Batches of any cut give what one replay of all rows gives."""
+    rng = random.Random(chunk)
+    rows = [(rng.choice(["hot"] * 5 + ["s1", "s2"]), rng.choice(["LEVEL_HIGH", "RAIN_INTENSE"]), i * 7 + rng.choice([0, -30, 90]), i)
+            for i in range(240)]
+    whole = {(r.id, r.seq, r.repeat_count, r.triggered_at) for r in suppress(candidates(spark, rows), config, chunk).collect()}
+    open_runs, got = spark.createDataFrame([], OPEN_RUNS), set()
+    for first, last in [(0, 1), (1, 90), (90, 90), (90, 100), (100, 240)]:
+        tracked = tracked_runs(candidates(spark, rows[first:last]), config, chunk, open_runs)
+        got |= {(r.id, r.seq, r.repeat_count, r.triggered_at) for r in alert_events_of(tracked).collect()}
+        open_runs = spark.createDataFrame(runs_left_open(tracked, open_runs).collect(), OPEN_RUNS)
+    assert got == whole
+    assert open_runs.count() == len({r[:2] for r in rows})

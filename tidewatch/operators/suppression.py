@@ -18,6 +18,13 @@ def alert_id(station: Column, rule: Column, first_seq: Column) -> Column:
     return stable_uuid(station, rule, first_seq.cast("string"))
 
 
+OPEN_RUNS = (
+    "station_id string, rule_code string, first_seq long, triggered_ms long, last_ms long, repeat_count int"
+)
+# the number of the chunk that stands for earlier batches
+BEFORE_ALL = -(1 << 62)
+
+
 def as_alert_events(
     candidates: DataFrame, first_seq: Column, triggered_ms: Column, last_ms: Column, repeat: Column
 ) -> DataFrame:
@@ -37,8 +44,33 @@ def as_alert_events(
     ).select(*ALERT_FIELDS, "seq")
 
 
-def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = KEY_CHUNK_ROWS) -> DataFrame:
-    """Every candidate as an alert event carrying its run's id, start and repeat count.
+def suppress(
+    candidates: DataFrame, config: RuleConfig, chunk_rows: int = KEY_CHUNK_ROWS, open_runs: DataFrame | None = None
+) -> DataFrame:
+    """Every candidate as an alert event carrying its run's id, start and repeat count; see ``tracked_runs``."""
+    tracked = tracked_runs(candidates, config, chunk_rows, open_runs)
+    return alert_events_of(tracked)
+
+
+def alert_events_of(tracked: DataFrame) -> DataFrame:
+    """Alert events of candidates with their runs."""
+    return as_alert_events(tracked, F.col("first_seq"), F.col("triggered_ms"), F.col("last_ms"), F.col("repeat_count"))
+
+
+def runs_left_open(tracked: DataFrame, open_runs: DataFrame) -> DataFrame:
+    """The run every key is in after a batch: ``open_runs`` for the next one."""
+    last = F.max_by(F.struct("first_seq", "triggered_ms", "last_ms", "repeat_count"), "seq").alias("run")
+    now = tracked.groupBy(*KEY).agg(last).select(*KEY, "run.*")
+    return now.unionByName(open_runs.join(now, KEY, "left_anti"))
+
+
+def tracked_runs(
+    candidates: DataFrame, config: RuleConfig, chunk_rows: int = KEY_CHUNK_ROWS, open_runs: DataFrame | None = None
+) -> DataFrame:
+    """Candidates with the run they belong to: ``first_seq``, ``triggered_ms``, ``last_ms`` and ``repeat_count``.
+
+    ``open_runs`` (one row per key, ``OPEN_RUNS``): where earlier arrivals left each key. To the scan along a
+    key it is one more chunk summary, ahead of all others.
 
     A candidate repeats its predecessor (in arrival order, per station and rule) when its event
     time is less than the suppression window after the predecessor's, also when it is earlier;
@@ -91,7 +123,15 @@ def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = KEY_CH
             F.max_by("_ms", "_pos").alias("_last_ms"),
             F.max("_run").alias("_last_run"),
         )
-        .withColumns({
+    )
+    if open_runs is not None:
+        # a chunk of the rows of the open run alone, which begins with its first arrival
+        chunks = chunks.unionByName(open_runs.select(
+            *KEY, F.lit(BEFORE_ALL).alias("_chunk"), F.col("repeat_count").cast("long").alias("_rows"),
+            F.col("triggered_ms").alias("_first_ms"), F.col("first_seq").alias("_first_seq"),
+            F.col("last_ms").alias("_last_ms"), F.lit(None).cast(chunks.schema["_last_run"].dataType).alias("_last_run")))
+    chunks = (
+        chunks.withColumns({
             "_first_opens": F.coalesce(
                 F.col("_first_ms") - F.lag("_last_ms").over(along) >= config.suppression_ms, F.lit(True)
             ),
@@ -128,4 +168,6 @@ def suppress(candidates: DataFrame, config: RuleConfig, chunk_rows: int = KEY_CH
     run_ms = F.when(own, F.col("_run._ms")).otherwise(F.col("_starts_in._ms"))
     run_seq = F.when(own, F.col("_run.seq")).otherwise(F.col("_starts_in.seq"))
     repeat = (offset + F.col("_pos") - run_pos + 1).cast("int")
-    return as_alert_events(joined, run_seq, run_ms, F.col("_ms"), repeat)
+    return joined.select(
+        *candidates.columns, run_seq.alias("first_seq"), run_ms.alias("triggered_ms"),
+        F.col("_ms").alias("last_ms"), repeat.alias("repeat_count"))

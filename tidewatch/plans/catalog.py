@@ -402,6 +402,23 @@ def q_stream_threshold_alerts(spark, sf):
     return _alert_columns(_run_stream("stream_threshold_alerts", jobs.suppress_stream(candidates, CONFIG)), "seq")
 
 
+@query("stream_suppressed_chunks")
+def q_stream_suppressed_chunks(spark, sf):
+    """Threshold rules in four micro-batches, suppressed chunk by chunk from the runs left open before."""
+    jobs.use_rocksdb(spark)
+    base = f"{shared_dir(spark)}/stream_suppressed_chunks-{uuid.uuid4().hex}"
+    rows = measurements(spark, sf)
+    quarter = rows.agg(F.call_function("div", F.max("seq"), F.lit(4)) + 1).first()[0]
+    sink = jobs.suppression_sink(base, CONFIG, lambda events, batch: events.write.mode("overwrite").parquet(
+        f"{base}/out/batch={batch}"), chunk_rows=1 << 12)
+    for k in range(4):
+        rows.filter(F.call_function("div", F.col("seq"), F.lit(quarter)) == k).write.parquet(f"{base}/in/part={k}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in/*")
+        jobs.start("stream_suppressed_chunks", threshold_candidates(stream, CONFIG), sink, f"{base}/checkpoint",
+                   {"availableNow": True}).awaitTermination()
+    return _alert_columns(spark.read.parquet(f"{base}/out"), "seq")
+
+
 @query("stream_rising")
 def q_stream_rising(spark, sf):
     """Rise windows as a stream: those the watermark has closed by the end of the data."""

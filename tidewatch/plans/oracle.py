@@ -449,4 +449,5 @@ ORACLE.update({
     "stored_recent_50_of_station": ORACLE["recent_50_of_station"],
     "stream_station_cards": ORACLE["station_cards"],
     "stream_alert_table": ORACLE["ack_resolve"],
+    "stream_suppressed_chunks": ORACLE["stream_threshold_alerts"],
 })

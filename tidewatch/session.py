@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,9 +23,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which all
-    executors share as well."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, as in tests, one in the warehouse; a cluster
+    has to name it, since a default warehouse is a folder of the driver that executors elsewhere do not see."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
     return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 

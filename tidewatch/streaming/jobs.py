@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.config import RuleConfig
 from tidewatch.functions.expr import epoch_ms, truncate_ms
 from tidewatch.operators import ingest
+from tidewatch.operators.arrival import KEY_CHUNK_ROWS
 from tidewatch.operators.contracts import submission_errors
 from tidewatch.operators.rising import (
     boundary_readings,
@@ -30,7 +31,13 @@ from tidewatch.operators.rules import as_candidates, threshold_candidates
 from tidewatch.operators.spike import spike_texts
 from tidewatch.operators.stale import stale_texts
 from tidewatch.operators.stored import STORED, store
-from tidewatch.operators.suppression import as_alert_events
+from tidewatch.operators.suppression import (
+    OPEN_RUNS,
+    alert_events_of,
+    as_alert_events,
+    runs_left_open,
+    tracked_runs,
+)
 from tidewatch.schemas import ALERT_FIELDS, COMMAND, SENSOR_SPIKE
 from tidewatch.session import ROCKSDB, held
 from tidewatch.sources.decode import decode_alert_events, decode_measurements, malformed, valid
@@ -230,6 +237,11 @@ def alert_stream(readings: DataFrame, config: RuleConfig) -> DataFrame:
     baseline, the silence timer and the run counter are keyed state. Late readings miss the rise
     windows alone: the keyed operators run without event-time eviction.
     """
+    return suppress_stream(candidate_stream(readings, config), config)
+
+
+def candidate_stream(readings: DataFrame, config: RuleConfig) -> DataFrame:
+    """Candidates of all rules off a stream of valid readings, before suppression."""
     timed = with_event_time(readings, config)
     facts = (
         timed.select("station_id", "seq", "water_level_m", epoch_ms("observed_at").alias("event_ms"))
@@ -243,11 +255,10 @@ def alert_stream(readings: DataFrame, config: RuleConfig) -> DataFrame:
         facts, F.col("rule_code"), reason, evidence, F.timestamp_millis("event_ms")
     )
 
-    return suppress_stream(
+    return (
         threshold_candidates(timed, config)
         .unionByName(station_rules)
-        .unionByName(rising_stream(timed, config)),
-        config,
+        .unionByName(rising_stream(timed, config))
     )
 
 
@@ -284,6 +295,30 @@ def suppress_stream(candidates: DataFrame, config: RuleConfig) -> DataFrame:
     )
 
 
+def suppression_sink(
+    base: str, config: RuleConfig, publish: Callable[[DataFrame, int], None], chunk_rows: int = KEY_CHUNK_ROWS
+) -> Callable[[DataFrame, int], None]:
+    """Suppress a micro-batch of candidates in the batch operator's chunks, for conditions too hot for one task.
+
+    ``suppress_stream`` keeps the open run of a key as state and walks the key's rows in one task. Here the open
+    runs are a relation of one row per key, written for every batch from the one before; a key's rows of a batch are dealt
+    by chunk. A repeated batch starts from the same relation again and replaces what it wrote.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.createDataFrame([], OPEN_RUNS)
+        if batch_id > 0:
+            before = spark.read.schema(OPEN_RUNS).parquet(f"{base}/open_runs/batch={batch_name(spark, batch_id - 1)}")
+        with held(batch, "candidates") as candidates:
+            with held(tracked_runs(candidates, config, chunk_rows, before), "tracked-runs") as tracked:
+                publish(alert_events_of(tracked), batch_id)
+                runs_left_open(tracked, before).write.mode("overwrite").parquet(
+                    f"{base}/open_runs/batch={batch_name(spark, batch_id)}")
+
+    return sink
+
+
 def alert_sink(publish: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     def sink(batch: DataFrame, batch_id: int) -> None:
         records = encode_alert_events(batch, keep=["seq"])
