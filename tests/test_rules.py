@@ -144,11 +144,13 @@ def test_previous_max(spark, chunk):
     assert {r.seq: r.m for r in rest.collect()} == before
 
 
-@pytest.mark.parametrize("width", [1, 4, 50])
+@pytest.mark.parametrize("width", [1, 4, 50, 10_000])
 def test_chunks_of_a_key(spark, width):
     rng = random.Random(width)
     rows = [(rng.choice("aaab"), seq) for seq in sorted(rng.sample(range(2000), 300))] + [("c", 5000), ("c", 90_000)]
-    found = key_chunks(spark.createDataFrame(rows, "k string, seq long"), ["k"], width).collect()
+    chunked, several = key_chunks(spark.createDataFrame(rows, "k string, seq long"), ["k"], width)
+    found = chunked.collect()
+    assert several == any(r.chunk for r in found)
     assert len(found) == len(rows)
     for k in "abc":
         chunks = [r.chunk for r in sorted((r for r in found if r.k == k), key=lambda r: r.seq)]
@@ -260,7 +262,7 @@ def test_a_stalled_clock_gathers_no_station(spark, config):
     rows = [reading(0, 525_600, 1.0)] + [reading(i, i, 1.0) for i in range(1, 4000)]
     levels = readings(spark, rows).select(
         "station_id", "seq", epoch_ms("observed_at").alias("event_ms"), F.col("water_level_m").alias("level_m"))
-    chunked = key_chunks(levels, ["station_id"], 200)
+    chunked, _ = key_chunks(levels, ["station_id"], 200)
     together = chunked.union(lead_ins(chunked, config.spike_window_ms).select(chunked.columns))
     sizes = [r["count"] for r in together.groupBy("station_id", "chunk").count().collect()]
     # a chunk's own rows, the hour before it and the one sample that stays

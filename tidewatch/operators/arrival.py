@@ -29,9 +29,9 @@ def chunk_of(seq: Column, chunk_rows: int) -> Column:
     return div(seq, chunk_rows)
 
 
-def key_chunks(rows: DataFrame, keys: list[str], chunk_rows: int = KEY_CHUNK_ROWS) -> DataFrame:
+def key_chunks(rows: DataFrame, keys: list[str], chunk_rows: int = KEY_CHUNK_ROWS) -> tuple[DataFrame, bool]:
     """Add ``chunk``: consecutive numbers from 0 over stretches of a key's arrivals, of fewer than 2 * ``chunk_rows``
-    rows each.
+    rows each. Also returns whether any key has more than one chunk.
 
     Cells of ``chunk_rows`` arrival numbers are counted by partial aggregation; neighbouring cells of a key join one
     chunk until it is full, so that a key with few rows in a cell is not cut at every cell.
@@ -40,8 +40,10 @@ def key_chunks(rows: DataFrame, keys: list[str], chunk_rows: int = KEY_CHUNK_ROW
     counts = cells.groupBy(*keys, "_cell").agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    numbered = counts.select(*keys, "_cell", div(before, chunk_rows).alias("chunk"))
-    return cells.join(numbered, [*keys, "_cell"]).drop("_cell")
+    numbered = materialize(counts.select(*keys, "_cell", div(before, chunk_rows).alias("chunk")), "chunks")
+    if numbered.filter("chunk > 0").isEmpty():
+        return rows.withColumn("chunk", F.lit(0).cast("long")), False
+    return cells.join(numbered, [*keys, "_cell"]).drop("_cell"), True
 
 
 def earlier_chunks(keys: list[str]) -> WindowSpec:

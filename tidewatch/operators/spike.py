@@ -83,9 +83,10 @@ def spike_baseline(readings: DataFrame, config: RuleConfig, chunk_rows: int = KE
         "station_id", "seq", epoch_ms("observed_at").alias("event_ms"),
         F.col("water_level_m").alias("level_m"),
     )
-    chunked = key_chunks(levels, ["station_id"], chunk_rows)
-    leading = lead_ins(chunked, window_ms).withColumn("own", F.lit(False))
-    laid_out = chunked.withColumn("own", F.lit(True)).unionByName(leading)
+    chunked, several = key_chunks(levels, ["station_id"], chunk_rows)
+    laid_out = chunked.withColumn("own", F.lit(True))
+    if several:
+        laid_out = laid_out.unionByName(lead_ins(chunked, window_ms).withColumn("own", F.lit(False)))
     ordered = laid_out.repartition("station_id", "chunk").sortWithinPartitions("station_id", "chunk", "seq")
 
     def baselines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
