@@ -117,6 +117,25 @@ def test_edited_lines_against_edit_similarity_alone(spark):
     assert len(want) >= 25 and found == want
 
 
+def test_a_letter_in_every_third_word_and_scripts_without_blanks(spark):
+    rnd = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = []
+    for i in range(30):
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(4, 9))) for _ in range(60)]
+        other = list(words)
+        for k in range(0, 60, 3):
+            at = rnd.randrange(len(other[k]))
+            other[k] = other[k][:at] + rnd.choice(letters) + other[k][at + 1:]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    for i in range(30, 40):
+        line = "".join(chr(rnd.randrange(0x4e00, 0x9000)) for _ in range(34))
+        docs += [(2 * i, line), (2 * i + 1, line[:-1] + "\u4e00")]
+    found = {r.doc_id for r in line_dedup.deduplicated(frame(spark, docs)).where("size(removed) > 0").collect()}
+    assert all(i % 2 for i in found)
+    assert len([i for i in found if i < 60]) >= 27 and len([i for i in found if i >= 60]) == 10
+
+
 def test_punctuation_and_white_space_make_no_difference(spark):
     docs = [(1, "errereen thing restat."), (2, "errereen*** thing### restat."), (3, "Errereen\tthing\u00a0restat\r"), (4, "errereen thing\u3000restat")]
     found = line_dedup.deduplicated(frame(spark, docs)).collect()
