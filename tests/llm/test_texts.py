@@ -342,3 +342,32 @@ def test_no_python_in_native_plans(spark):
     for df in (line_dedup.deduplicated(docs), secrets.without_secrets(docs, path_column="doc_id")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("twins", [12, 40])
+def test_all_similar_lines_of_one_key_are_connected(spark, twins):
+    rnd = random.Random(29)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = {}
+    for i in range(twins):
+        line = "".join(rnd.choice(letters) for _ in range(50))
+        # a chain: the ends are similar to the middle, not to each other
+        lines |= {3 * i: "X" * 9 + line[9:], 3 * i + 1: line, 3 * i + 2: line[:-9] + "Y" * 9}
+    rows = spark.createDataFrame(list(lines.items()), "id long, text string")
+    place = F.struct("id", F.xxhash64("text").alias("row"), F.lit(0).alias("pos"))
+    entries = rows.select(F.xxhash64("id").alias("hash"), place.alias("first"))
+    keyed = rows.select(F.xxhash64("id").alias("hash"), F.lit(50).alias("length"), F.array(F.lit(7).cast("long")).alias("keys"))
+    links = line_dedup.similar_entries(entries, line_dedup.materialize(keyed, "keyed"), rows, 0.8)
+    named = rows.select("id", F.xxhash64("id").alias("node")).join(line_dedup.components(links), "node").collect()
+    groups = {}
+    for r in named:
+        groups.setdefault(r.component, set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(twins)]
+
+
+def test_pairs_left_are_all_pairs_of_a_key_in_small_blocks(spark):
+    met = spark.createDataFrame([(k, h * 7919, 10) for k in (1, 2) for h in range(23)], "key long, hash long, length int")
+    links = spark.createDataFrame([(0, 7919), (7919, 2 * 7919)], "a long, b long")
+    found = [tuple(sorted((r.a, r.b))) for r in line_dedup.pairs_left(met, links, block=4).collect()]
+    want = {(a * 7919, b * 7919) for a in range(23) for b in range(a + 1, 23) if b > 2}
+    assert set(found) == want and len(found) == 2 * len(want)
