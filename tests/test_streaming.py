@@ -405,3 +405,36 @@ def test_stored_reads_touch_the_newest_dates_only(spark, tmp_path):
     assert stored_reads.recent(spark, str(tmp_path / "none"), 10).isEmpty()
     days = stored_reads.dates(spark, path)[2:4]
     assert {r.observed_at.strftime("%Y-%m-%d") for r in stored_reads.between(spark, path, days[1], days[0]).collect()} == set(days)
+
+
+def test_event_ids_are_remembered_natively_and_grouped(spark, tmp_path):
+    topic = str(tmp_path / "in")
+    drop_file(topic, 0, [message(s, 1, 1.0, 1.0, event_id=f"e{s // 2}") for s in (5, 4, 3, 2)] + [message(9, 1, 1.0, 1.0, event_id="old")])
+    drop_file(topic, 1, [message(10 + s, 2, 1.0, 1.0, event_id=f"e{s}") for s in (1, 2, 3, 3)])
+    stored = spark.createDataFrame([("old",), ("old",), (None,)], "event_id string")
+    labelled = jobs.labelled_submissions(read_folder(spark, topic, 1), stations_of(spark, "s1"), check_uuid=False, stored=stored)
+    # one call of Python per id and several per state access took a millisecond a reading
+    plan = labelled._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan
+    out = str(tmp_path / "out")
+    finish(jobs.start("native", labelled, lambda df, b: write_folder(df, out, b), str(tmp_path / "cp"), NOW))
+    rows = spark.read.json(f"{out}/*").collect()
+    assert sorted((r.seq, r.outcome) for r in rows) == [
+        (2, "ACCEPTED"), (3, "DUPLICATE"), (4, "ACCEPTED"), (5, "DUPLICATE"), (9, "DUPLICATE"), (11, "DUPLICATE"),
+        (12, "DUPLICATE"), (13, "ACCEPTED"), (13, "DUPLICATE")]
+
+
+def test_first_arrivals_over_several_batches():
+    import pyarrow as pa
+
+    from tidewatch.streaming.processors import ARRIVAL, NEW_ID, STORED_ID, first_arrivals
+
+    rows = [("a", 5, ARRIVAL), ("a", 3, ARRIVAL), ("b", 4, ARRIVAL), ("c", 1, ARRIVAL), ("d", None, STORED_ID), ("d", 2, ARRIVAL),
+            ("d", None, NEW_ID), ("a", None, NEW_ID), ("a", 2, ARRIVAL), ("b", 9, ARRIVAL), ("c", None, NEW_ID)]
+    for size in (1, 2, 5, 11):
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(zip(*rows[k:k + size]), (pa.string(), pa.int64(), pa.int32()))],
+            names=["event_id", "seq", "_kind"]) for k in range(0, len(rows), size)]
+        found = [tuple(r.values()) for out in first_arrivals(iter(batches)) for r in out.to_pylist()]
+        assert sorted(found) == [("a", 2, False), ("a", 3, True), ("a", 5, True), ("b", 4, True), ("b", 9, True),
+                                 ("c", 1, False), ("d", 2, True)]

@@ -1,4 +1,4 @@
-"""Keyed state of the streaming form: baseline and silence per station, runs per condition, ids.
+"""Keyed state of the streaming form: baseline and silence per station, runs per condition; first arrivals of a batch.
 
 Processors only keep state and emit plain facts; texts, ids and JSON are built by column
 expressions on their output. Rows of a key come in no particular order within a micro-batch, so
@@ -10,6 +10,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
@@ -28,7 +31,6 @@ RUN_FACT = (
     "evidence string, event_ms long, seq long, first_seq long, triggered_ms long, repeat_count int"
 )
 
-
 class StationState(StatefulProcessor):
     """Rolling baseline (spike rule) and processing-time timer (stale rule) of one station."""
 
@@ -156,31 +158,37 @@ class KnownStation(StatefulProcessor):
         pass
 
 
-class FirstArrival(StatefulProcessor):
-    """Whether an event id was taken: the first arrival ever wins, state holds the id only."""
-
-    def init(self, handle) -> None:
-        self.taken = handle.getValueState("taken", "taken boolean")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.taken.update((True,))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = None
-        for row in rows:
-            if best is None:
-                best = row
-                continue
-            if row.seq < best.seq:
-                best, row = row, best
-            yield Row(**{**row.asDict(), "duplicate": True})
-        seen = self.taken.exists()
-        if not seen:
-            self.taken.update((True,))
-        yield Row(**{**best.asDict(), "duplicate": seen})
-
-    def close(self) -> None:
-        pass
+# what a row stands for among those of an event id: an arrival, an id of the stored table, an id met for the first time
+ARRIVAL, STORED_ID, NEW_ID = 0, 1, 2
+
+
+def first_arrivals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The arrivals of some event ids in a micro-batch with ``duplicate``: all but the first of a new id.
+
+    Rows are ``event_id``, ``seq`` and others, the last column tells what they stand for. Of an id only the first
+    arrival so far is held back, until all batches are seen.
+    """
+    new, stored, best = set(), set(), None
+    for batch in batches:
+        kind, rows = batch.column(batch.num_columns - 1), batch.select(batch.schema.names[:-1])
+        for ids, which in ((new, NEW_ID), (stored, STORED_ID)):
+            ids.update(rows.column("event_id").filter(pc.equal(kind, which)).to_pylist())
+        rows = pa.Table.from_batches([rows.filter(pc.equal(kind, ARRIVAL))])
+        rows = rows if best is None else pa.concat_tables([best, rows])
+        if not rows.num_rows:
+            continue
+        ids = pa.array(rows.column("event_id").combine_chunks()).dictionary_encode().indices.to_numpy()
+        order = np.lexsort((pc.fill_null(rows.column("seq"), sys.maxsize).to_numpy(), ids))
+        first = np.zeros(len(order), dtype=bool)
+        first[order[np.flatnonzero(np.diff(ids[order], prepend=-1))]] = True
+        best = rows.filter(pa.array(first))
+        yield from _labelled(rows.filter(pa.array(~first)), [True] * int((~first).sum()))
+    if best is not None:
+        yield from _labelled(best, [i not in new or i in stored for i in best.column("event_id").to_pylist()])
+
+
+def _labelled(rows: pa.Table, duplicate: list[bool]) -> list[pa.RecordBatch]:
+    return rows.append_column("duplicate", pa.array(duplicate, pa.bool_())).to_batches()
 
 
 # ship this module inside serialized processors, so executors need no installed copy
