@@ -438,3 +438,40 @@ def test_first_arrivals_over_several_batches():
         found = [tuple(r.values()) for out in first_arrivals(iter(batches)) for r in out.to_pylist()]
         assert sorted(found) == [("a", 2, False), ("a", 3, True), ("a", 5, True), ("b", 4, True), ("b", 9, True),
                                  ("c", 1, False), ("d", 2, True)]
+
+
+def test_rows_of_a_run_leave_block_by_block(config):
+    import pandas as pd
+
+    from tidewatch.streaming.processors import RUN_COLUMNS, RunState
+
+    class Kept:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    rnd = random.Random(4)
+    rows = [(seq, rnd.randrange(40) * config.suppression_ms // 4) for seq in range(600)]
+    want, run = {}, None
+    for seq, ms in rows:
+        run = (run[0], run[1], ms, run[3] + 1) if run and ms - run[2] < config.suppression_ms else (seq, ms, ms, 1)
+        want[seq] = (run[0], run[1], run[3])
+    state, found = RunState(config), {}
+    state.run = Kept()
+    for batch in (rows[:1], rows[1:250], rows[250:]):
+        shuffled = rnd.sample(batch, len(batch))
+        blocks = [pd.DataFrame([("s", "r", "HIGH", "t", f"r{seq}", None, ms, seq) for seq, ms in shuffled[k:k + 40]], columns=RUN_COLUMNS[:8])
+                  for k in range(0, len(batch), 40)]
+        left = list(state.handleInputRows(("s", "r"), iter(blocks), None))
+        assert [len(b) for b in left] == [len(b) for b in blocks]
+        for block in left:
+            assert list(block.columns) == RUN_COLUMNS and all(r.reason == f"r{r.seq}" for r in block.itertuples())
+            found |= {r.seq: (r.first_seq, r.triggered_ms, r.repeat_count) for r in block.itertuples()}
+    assert found == want and state.run.value == run

@@ -313,7 +313,7 @@ def suppress_stream(candidates: DataFrame, config: RuleConfig) -> DataFrame:
         candidates.withColumn("event_ms", epoch_ms(F.coalesce("event_time", F.current_timestamp())))
         .drop("event_time")
         .groupBy("station_id", "rule_code")
-        .transformWithState(RunState(config), RUN_FACT, "append", "none")
+        .transformWithStateInPandas(RunState(config), RUN_FACT, "append", "none")
     )
     return as_alert_events(
         runs, F.col("first_seq"), F.col("triggered_ms"), F.col("event_ms"), F.col("repeat_count")

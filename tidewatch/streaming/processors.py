@@ -7,10 +7,13 @@ they are sorted by arrival number there; a batch's size is bounded by the source
 
 from __future__ import annotations
 
+import pickle
 import sys
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -30,6 +33,8 @@ RUN_FACT = (
     "station_id string, rule_code string, severity string, title string, reason string, "
     "evidence string, event_ms long, seq long, first_seq long, triggered_ms long, repeat_count int"
 )
+RUN_COLUMNS = [field.split()[0] for field in RUN_FACT.split(", ")]
+
 
 class StationState(StatefulProcessor):
     """Rolling baseline (spike rule) and processing-time timer (stale rule) of one station."""
@@ -111,20 +116,39 @@ class RunState(StatefulProcessor):
             "run", "first_seq long, triggered_ms long, last_ms long, repeat_count int"
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        run = tuple(self.run.get()) if self.run.exists() else None
-        for row in sorted(rows, key=lambda r: r.seq):
-            ms = row.event_ms
-            if run is not None and ms - run[2] < self.window_ms:
-                run = (run[0], run[1], ms, run[3] + 1)
-            else:
-                run = (row.seq, ms, ms, 1)
-            yield Row(
-                station_id=key[0], rule_code=key[1], severity=row.severity, title=row.title,
-                reason=row.reason, evidence=row.evidence, event_ms=ms, seq=row.seq,
-                first_seq=run[0], triggered_ms=run[1], repeat_count=run[3],
-            )
-        self.run.update(run)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Only arrival numbers and times of a key's rows are held; the rows wait in a temporary file, a block at a time."""
+        with tempfile.TemporaryFile() as waiting:
+            seqs, times = [], []
+            for block in rows:
+                pickle.dump(block, waiting)
+                seqs.append(block["seq"].to_numpy())
+                times.append(block["event_ms"].to_numpy())
+            tracked = self.tracked(np.concatenate(seqs), np.concatenate(times))
+            waiting.seek(0)
+            done = 0
+            for own in seqs:
+                block, part = pickle.load(waiting), slice(done, done + len(own))
+                done += len(own)
+                yield block.assign(**{name: values[part] for name, values in tracked.items()})[RUN_COLUMNS]
+
+    def tracked(self, seq: np.ndarray, ms: np.ndarray) -> dict[str, np.ndarray]:
+        """The run of every row, in the order given; the state moves on to the last one."""
+        first_seq, triggered, last, repeats = tuple(self.run.get()) if self.run.exists() else (0, 0, None, 0)
+        order = np.argsort(seq, kind="stable")
+        seq, ms, at = seq[order], ms[order], np.arange(len(order))
+        opens = np.append(True if last is None else ms[0] - last >= self.window_ms, np.diff(ms) >= self.window_ms)
+        start = np.maximum.accumulate(np.where(opens, at, -1))
+        earlier = start < 0
+        runs = {
+            "first_seq": np.where(earlier, first_seq, seq[start]),
+            "triggered_ms": np.where(earlier, triggered, ms[start]),
+            "repeat_count": np.where(earlier, repeats + at + 1, at - start + 1),
+        }
+        self.run.update((int(runs["first_seq"][-1]), int(runs["triggered_ms"][-1]), int(ms[-1]), int(runs["repeat_count"][-1])))
+        back = np.empty_like(order)
+        back[order] = at
+        return {name: values[back] for name, values in runs.items()}
 
     def close(self) -> None:
         pass
