@@ -371,3 +371,70 @@ def test_pairs_left_are_all_pairs_of_a_key_in_small_blocks(spark):
     found = [tuple(sorted((r.a, r.b))) for r in line_dedup.pairs_left(met, links, block=4).collect()]
     want = {(a * 7919, b * 7919) for a in range(23) for b in range(a + 1, 23) if b > 2}
     assert set(found) == want and len(found) == 2 * len(want)
+
+
+@pytest.mark.parametrize("twins", [20, 40])
+def test_similar_lines_of_one_key_need_one_comparison_each(spark, twins):
+    met = spark.createDataFrame([(7, h * 7919, 50) for h in range(twins)], "key long, hash long, length int")
+    asked = []
+
+    def verified(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return line_dedup.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+
+    links = line_dedup.led_links(met, verified)
+    assert len(asked) == twins - 1
+    assert line_dedup.pairs_left(met, links).count() == 0
+
+
+def test_no_two_entries_are_compared_twice(spark, monkeypatch):
+    lines = [f"{word * 8} stands {word * 9} here" for word in ("ab", "cd", "ef", "gh", "ij")]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    place = F.struct("id", F.xxhash64("text").alias("row"), F.lit(0).alias("pos"))
+    entries = rows.select(F.xxhash64("id").alias("hash"), place.alias("first"))
+    keyed = rows.select(F.xxhash64("id").alias("hash"), F.lit(47).alias("length"), F.array(*[F.lit(k).cast("long") for k in (-3, 1, 2)]).alias("keys"))
+    looked_at, former = [], line_dedup.similar_pairs
+
+    def similar_pairs(near, texts, similarity, share, shares):
+        looked_at.extend((r.a, r.b) for r in near.where(F.pmod("a", F.lit(shares)) == share).collect())
+        return former(near, texts, similarity, share, shares)
+
+    monkeypatch.setattr(line_dedup, "similar_pairs", similar_pairs)
+    assert line_dedup.similar_entries(entries, line_dedup.materialize(keyed, "keyed"), rows, 0.8).count() == 0
+    assert len(looked_at) == len(set(looked_at)) == 10 and all(a < b for a, b in looked_at)
+
+
+def test_shares_of_keys_and_pairs_leave_nothing_out(spark):
+    rnd = random.Random(31)
+    keys = [(h * 7919 - 100_000, 10, [rnd.randrange(-40, 40) for _ in range(3)]) for h in range(60)]
+    keyed = line_dedup.materialize(spark.createDataFrame(keys, "hash long, length int, keys array<long>").selectExpr(
+        "hash", "length", "array_distinct(keys) AS keys"), "keyed")
+    holders = {}
+    for h, _, ks in keys:
+        for k in ks:
+            holders.setdefault(k, set()).add(h)
+    want = {(k, h) for k, hs in holders.items() if len(hs) > 1 for h in hs}
+    found = [(r.key, r.hash) for r in line_dedup.meeting(keyed).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+    texts = spark.createDataFrame([(h, "a common line " + "xyz"[i % 3] * 9) for i, (h, _, _) in enumerate(keys)], "hash long, norm string")
+    near = spark.createDataFrame([(a, b) for a, _, _ in keys for b, _, _ in keys if a < b], "a long, b long")
+    whole = {(r.a, r.b) for r in line_dedup.similar_pairs(near, texts, 0.8, 0, 1).collect()}
+    shares = [(r.a, r.b) for share in range(7) for r in line_dedup.similar_pairs(near, texts, 0.8, share, 7).collect()]
+    assert len(whole) == 3 * 190 and set(shares) == whole and len(shares) == len(whole)
+
+
+def test_edit_similarity_by_pieces_is_that_of_whole_lines(spark):
+    rnd = random.Random(37)
+    pairs = [("", ""), ("a", ""), ("abc", "abc"), ("éa ß" * 9, "éa ß" * 8 + "ea s")]
+    for _ in range(400):
+        a = [rnd.choice("abcdeé ") for _ in range(rnd.randrange(1, 90))]
+        b = a[:]
+        for _ in range(rnd.randrange(0, len(a) // 3 + 2)):
+            at = rnd.randrange(len(b) + 1)
+            b[at:at + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    plain = F.levenshtein("a", "b") <= F.floor(F.greatest(F.length("a"), F.length("b")) * (1 - 0.8) + 1e-9)
+    found = df.select(line_dedup.edit_similar(F.col("a"), F.col("b"), 0.8).alias("found"), plain.alias("plain")).collect()
+    assert [r.found for r in found] == [r.plain for r in found] and 50 < sum(r.plain for r in found) < 350
