@@ -158,6 +158,19 @@ def test_each_link_is_found_once(spark):
     assert got == sorted((a, b) for a in values for b in values if a < b and ((a & low) ^ (b & low)).bit_count() <= 3)
 
 
+def test_probes_are_not_broadcast(spark, tmp_path):
+    values = [0, 1, 3, 1 << 40, -1, -(1 << 63)]
+    spark.createDataFrame([(v,) for v in values], "fingerprint long").write.parquet(str(tmp_path / "prints"))
+    # from a file, as a stage has them: by its size the planner takes either side to be small
+    found = simhash.links(spark.read.parquet(str(tmp_path / "prints")), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    low = (1 << 64) - 1
+    assert sorted(tuple(sorted((r.a, r.b))) for r in found.collect()) == sorted(
+        (a, b) for a in values for b in values if a < b and ((a & low) ^ (b & low)).bit_count() <= 3)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_null_ids_and_empty_table(spark):
     found = simhash.near_duplicates(spark.createDataFrame([(None, "a b c", "", 0), (4, "a b c", "", 0), (4, "a b c", "", 0)], DOCS), 3, 3)
     assert sorted((r.doc_id or 0, r.component_id) for r in found.collect()) == [(0, 4), (4, 4), (4, 4)]

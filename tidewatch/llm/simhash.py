@@ -7,7 +7,8 @@ segment and value; what is found is verified on all bits. Two fingerprints meet
 that brings them together, and from one side only.
 
 Equal fingerprints are one entry of the table, however many documents share them. Probes and table are
-dealt by segment and value, joined without any group being gathered; links go into connected components.
+dealt by segment and value, joined without any group being gathered and without a broadcast; links go into connected
+components.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def links(prints: DataFrame, max_bits: int, segments: int = 2) -> DataFrame:
     for k, (at, bits) in enumerate(bounds[:-1]):
         apart = F.bit_count(F.shiftrightunsigned(differ, at).bitwiseAND(F.lit((1 << bits) - 1)))
         once &= (F.col("p.segment") <= k) | (apart > radius)
-    probe, entry = probe.alias("p"), entry.alias("t")
+    # Spark takes the exploded probes to be as small as the prints they are made of, and would broadcast them
+    probe, entry = probe.alias("p"), entry.alias("t").hint("merge")
     met = (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value"))
     return probe.join(entry, met & (F.bit_count(differ) <= max_bits) & once).select("a", "b")
 
