@@ -171,6 +171,19 @@ def test_probes_are_not_broadcast(spark, tmp_path):
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_stage_of_the_pipeline_broadcasts_no_probes(spark, monkeypatch):
+    plans, former = [], simhash.components
+
+    def components(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return former(edges)
+
+    monkeypatch.setattr(simhash, "components", components)
+    docs = spark.createDataFrame([(1, "one two three"), (2, "ONE two three"), (3, "other words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(docs, 3, 3).collect()) == [1, 3]
+    assert len(plans) == 1 and "BroadcastExchange" not in plans[0]
+
+
 def test_simhash_null_ids_and_empty_table(spark):
     found = simhash.near_duplicates(spark.createDataFrame([(None, "a b c", "", 0), (4, "a b c", "", 0), (4, "a b c", "", 0)], DOCS), 3, 3)
     assert sorted((r.doc_id or 0, r.component_id) for r in found.collect()) == [(0, 4), (4, 4), (4, 4)]

@@ -424,6 +424,16 @@ def test_shares_of_keys_and_pairs_leave_nothing_out(spark):
     assert len(whole) == 3 * 190 and set(shares) == whole and len(shares) == len(whole)
 
 
+def test_places_with_long_ids_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL", 1_000)
+    for size, broadcast in ((1, True), (300, False)):
+        rows = spark.createDataFrame([(f"{i:0{size}}", f"line {i} stands here") for i in range(9)], "id string, text string")
+        wanted = rows.select(F.xxhash64("id").alias("hash"), "id", F.xxhash64("text").alias("row"), F.lit(0).alias("pos"))
+        found = line_dedup.texts_of(wanted, rows)
+        assert ("strategy=broadcast" in found._jdf.queryExecution().analyzed().toString()) == broadcast
+        assert sorted(r.norm for r in found.collect()) == [f"line {i} stands here" for i in range(9)]
+
+
 def test_edit_similarity_by_pieces_is_that_of_whole_lines(spark):
     rnd = random.Random(37)
     pairs = [("", ""), ("a", ""), ("abc", "abc"), ("éa ß" * 9, "éa ß" * 8 + "ea s")]
