@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import line_dedup, lm, queries, secrets, toxicity
 from tidewatch.llm.encoding import lowered
+from tidewatch.llm.storage import recorded
 
 DOCS = "doc_id long, text string, hash long, removed int, score string, row int, id string"
 
@@ -424,6 +426,46 @@ def test_shares_of_keys_and_pairs_leave_nothing_out(spark):
     assert len(whole) == 3 * 190 and set(shares) == whole and len(shares) == len(whole)
 
 
+def test_pairs_are_listed_in_shares_and_tables_removed(spark, monkeypatch):
+    rnd = random.Random(41)
+    lines = ["".join(rnd.choice("abcdefgh") for _ in range(40)) for _ in range(14)]
+    lines += [x[:-2] + "zz" for x in lines[:3]]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    place = F.struct("id", F.xxhash64("text").alias("row"), F.lit(0).alias("pos"))
+    entries = rows.select(F.xxhash64("id").alias("hash"), place.alias("first"))
+    keyed = rows.select(F.xxhash64("id").alias("hash"), F.lit(40).alias("length"), F.array(*[F.lit(k).cast("long") for k in (5, 6)]).alias("keys"))
+    monkeypatch.setattr(line_dedup, "PAIRS", 100)
+    monkeypatch.setattr(line_dedup, "LISTED", 1)
+    listed, former = [], line_dedup.similar_pairs
+
+    def similar_pairs(near, texts, similarity, share, shares):
+        if not share:
+            listed.append([(r.a, r.b) for r in near.collect()])
+        return former(near, texts, similarity, share, shares)
+
+    monkeypatch.setattr(line_dedup, "similar_pairs", similar_pairs)
+    with recorded() as written:
+        links = line_dedup.similar_entries(entries, line_dedup.materialize(keyed, "keyed"), rows, 0.8)
+        links.count()
+    names = {r.node: r.id for r in rows.select("id", F.xxhash64("id").alias("node")).collect()}
+    assert {tuple(sorted((names[r.a], names[r.b]))) for r in links.collect()} == {(i, 14 + i) for i in range(3)}
+    # every pair once, no share with all of them
+    every = [p for share in listed for p in share]
+    assert len(every) == len(set(every)) and 17 * 16 // 2 - 17 <= len(every) <= 17 * 16 // 2
+    assert len(listed) > 2 and max(map(len, listed)) <= 100
+    there = {f.rpartition("/")[2].rpartition("-")[0] for f in written if os.path.exists(f.removeprefix("file:"))}
+    assert not there & {"met", "led", "wanted"}
+
+
+def test_only_lines_and_groups_are_kept_for_the_documents(spark):
+    docs = frame(spark, [(i, f"words of line {i % 3} that stand here\nown words of text number {i} in full") for i in range(12)])
+    with recorded() as written:
+        found = line_dedup.deduplicated(docs)
+    there = {f.rpartition("/")[2].rpartition("-")[0] for f in written if os.path.exists(f.removeprefix("file:"))}
+    assert {"lines", "grouped"} == there
+    assert found.count() == 12
+
+
 def test_places_with_long_ids_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL", 1_000)
     for size, broadcast in ((1, True), (300, False)):
